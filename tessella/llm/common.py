@@ -42,11 +42,15 @@ def hot_keys(rows: DataFrame, key: str, most: int = 2000, least: int = 10_000) -
     return [r[0] for r in counts.where(F.col("__n") > max(least, total // most)).select(key).collect()] if total > least else []
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, by: Column, how: str = "inner", salts: int = 64, counted: DataFrame | None = None) -> DataFrame:
-    """Join many ``rows`` to ``table``, which has one row a key; rows of a hot key are dealt over ``salts`` partitions by ``by``.
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: Column, how: str = "inner", salts: int = 64, counted: DataFrame | None = None, small: int = 400_000) -> DataFrame:
+    """Join many ``rows`` to ``table``, a written table of a few numbers or one digest a row, with one row a key.
 
-    Hot keys are counted in ``counted`` (or ``rows``) with a partial aggregation; that should be a written table.
+    A table of at most ``small`` rows is broadcast. Else rows of a hot key are dealt over ``salts`` partitions by ``by``;
+    hot keys are counted in ``counted`` (or ``rows``), a written table, with a partial aggregation. ``small=0`` never
+    broadcasts, for wide rows.
     """
+    if small and table.count() <= small:
+        return rows.join(F.broadcast(table), key, how)
     hot = hot_keys(rows if counted is None else counted, key)
     if not hot:
         return rows.join(table, key, how)
@@ -57,5 +61,5 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, by: Column, how: st
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows (of a few numbers each), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df``, a written table, with a broadcast hint if it has at most ``rows`` rows (of a few numbers each), else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -61,7 +61,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     single = flagged.where("not __again").select("__id", F.col("__id").alias("__keep"), F.lit(1).cast("long").alias("__size"), "__sha")
     again = flagged.where("__again").select("__id", "__sha")
     groups = again.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size"))
-    repeated = spread_join(again, groups, "__sha", F.col("__id")).select("__id", "__keep", "__size", "__sha")
+    repeated = spread_join(again, stash(groups), "__sha", F.col("__id")).select("__id", "__keep", "__size", "__sha")
     return single.union(repeated).select(
         F.col("__id").alias("doc_id"),
         F.col("__keep").alias("keep_id"),

@@ -21,7 +21,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     labels = stash(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
     for _ in range(rounds):
         near = spread_join(edges.withColumnRenamed("b", "id"), labels, "id", F.col("a")).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        new = stash(labels.join(near, "id").select("id", F.least("comp", "m").alias("comp"), F.col("comp").alias("was")))
+        new = stash(spread_join(near, labels, "id", F.col("m")).select("id", F.least("comp", "m").alias("comp"), F.col("comp").alias("was")))
         root = new.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
         new = stash(spread_join(new, root, "comp", F.col("id")).select("id", F.least("comp", "root").alias("comp"), "was"))
         labels = new.select("id", "comp")
@@ -30,35 +30,44 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components need more than {rounds} rounds")
 
 
-def link_buckets(members: DataFrame, traits: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All links that matter between ids that share a bucket: ``(a, b)`` whose components are those of all links.
+def bucket_components(members: DataFrame, traits: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], size: Column, orders: int = 8) -> DataFrame:
+    """``(id, comp)`` of the components that links make between ids that share a bucket; ids without a link are left out.
 
-    ``members(bucket, id)`` and ``traits(id, trait)``, one row an id, are written tables; ``near(x, y)`` is a cheap
-    condition on two traits that every true link meets; ``verify`` keeps the true links of ``(a, b)``.
+    ``members(bucket, id)`` and ``traits(id, trait)`` are written tables; ``near(x, y)`` is a cheap condition on two traits
+    that some traits of every true link meet; ``verify`` keeps the true links of ``(a, b)``; ``size`` is a whole number of
+    a trait that differs by one at most between linked ids.
 
-    First each bucket's members are compared with its smallest id alone. A bucket whose members are then in one component
-    is done: any further link would join what is joined. In the others, the members outside the first one's component are
-    compared with all members of other components. So no link between different components is lost, and a bucket of
+    First each bucket's members are compared with one of them, the first in one of ``orders`` pseudo-random orders of all
+    ids that the bucket picks, so that a family of copies meets a few common heads. A bucket whose members are then in one
+    component is done: any further link would join what is joined. In the others, the members outside the head's component
+    are compared with all members of other components. So no link between different components is lost, and a bucket of
     copies costs as many comparisons as it has members.
     """
-    heads = members.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    order = F.xxhash64(F.pmod("bucket", F.lit(orders)), "id")
+    heads = stash(members.groupBy("bucket").agg(F.min_by("id", order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     shared = stash(spread_join(members, heads, "bucket", F.col("id")))
-    pairs = stash(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    first = stash(verify(_near(pairs, traits, near)))
-    at = spread_join(shared, components(first), "id", F.col("bucket"), "left")
-    at = stash(at.select("bucket", "id", "head", F.coalesce("comp", "id").alias("comp")))
-    mixed = at.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    left = spread_join(at, mixed, "bucket", F.col("id"))
-    left = stash(left.join(traits, "id"))
-    main = left.where("id = head").select("bucket", F.col("comp").alias("main"))
-    odd = spread_join(left, main, "bucket", F.col("id")).where("comp <> main").select("bucket", F.col("id").alias("a"), F.col("trait").alias("x"), F.col("comp").alias("ca"))
-    rest = odd.join(left.select("bucket", F.col("id").alias("b"), F.col("trait").alias("y"), F.col("comp").alias("cb")), "bucket")
-    rest = rest.where((F.col("ca") != F.col("cb")) & near("x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return stash(first.union(verify(stash(rest))))
+    pairs = stash(shared.where("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
+    comps = components(stash(verify(_near(pairs, traits, near))))
+    at = stash(spread_join(shared, comps, "id", F.col("bucket"), "left").select("bucket", "id", "head", F.coalesce("comp", "id").alias("comp")))
+    mixed = stash(at.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("id") == F.col("head"), F.col("comp"))).alias("main")).where("low <> high").select("bucket", "main"))
+    left = stash(spread_join(at, mixed, "bucket", F.col("id")).join(traits, "id"))
+    odd = left.where("comp <> main").select("bucket", F.col("id").alias("a"), F.col("trait").alias("x"), F.col("comp").alias("ca"), F.explode(F.array(size - 1, size, size + 1)).alias("size"))
+    every = left.select("bucket", F.col("id").alias("b"), F.col("trait").alias("y"), F.col("comp").alias("cb"), size.alias("size"))
+    rest = odd.join(every, ["bucket", "size"]).where((F.col("ca") != F.col("cb")) & near("x", "y"))
+    rest = stash(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if rest.isEmpty():
+        return comps
+    more = stash(verify(rest))
+    if more.isEmpty():
+        return comps
+    known = stash(comps.union(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti").select("id", F.col("id").alias("comp"))))
+    ca, cb = (known.select(F.col("id").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
+    over = components(stash(spread_join(spread_join(more, ca, "a", F.col("b")), cb, "b", F.col("a")).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    return stash(spread_join(known, over.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", F.col("id"), "left").select("id", F.coalesce("top", "comp").alias("comp")))
 
 
 def _near(pairs: DataFrame, traits: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
-    """The ``pairs(a, b)`` whose traits are near."""
+    """The ``pairs(a, b)`` of which some traits are near."""
     x, y = (traits.select(F.col("id").alias(k), F.col("trait").alias(t)) for k, t in (("a", "x"), ("b", "y")))
-    found = spread_join(pairs, x, "a", F.col("b")).join(y, "b")
-    return stash(found.where(near("x", "y")).select("a", "b"))
+    found = spread_join(pairs, x, "a", F.col("b"), small=0).join(y, "b")
+    return stash(found.where(near("x", "y")).select("a", "b").distinct())

@@ -1,12 +1,16 @@
 """N-gram Jaccard self-join with PartEnum signatures.
 
-A text's set is its distinct 5-word shingles, as 64-bit hashes. Texts with the same set are one class. The domain of
-hashes is cut into GROUPS first-level partitions of PARTS second-level ones; for each group and each choice of
-PARTS - 1 of its parts, a set's signature is the hash of what it holds there. Two sets that differ in at most one part
-of some group share a signature. Sets fall into bands of size that double; a set also signs in the band of its largest
-possible partner. A band of sets of more than WHOLE shingles looks at a fixed 2^-band share of the domain, so that the
-number of signatures doesn't grow with the text: at similarity 0.8, a pair shares none with a probability under 1e-7 at the
-worst size, and under 1e-10 at most sizes. Signatures only propose; links are verified on the whole sets.
+A text's set is its distinct 5-word shingles, as 64-bit hashes. Texts with the same set are one class. Sets fall into bands
+whose upper size grows by the square root of two; a set also signs in the band of its largest possible partner, so a pair
+always meets in one band. Sets of at most u shingles that link differ in at most k = 2u / 9. A band cuts the domain of
+hashes into groups of PARTS parts, k / 2 + 1 groups and two spare ones; for each group and each choice of PARTS - 1 of its
+parts, a set's signature is the hash of what it holds there. As k differences spoil at most k / 2 groups (two parts each),
+two sets that link share a signature. (Signatures of nothing are left out; the spare groups make up for that.)
+
+Bands of more than WHOLE shingles look at a fixed share of the domain that leaves about WHOLE of them, in GROUPS groups, so
+that the number of signatures doesn't grow with the text: at similarity 0.8 exactly, a pair then shares none with a
+probability of about 1e-8 or less, which falls steeply with more similarity. Signatures only propose; links are verified on
+the whole sets.
 """
 
 from __future__ import annotations
@@ -19,33 +23,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, spread_join, stash
-from .graph import components, link_buckets
+from .graph import bucket_components
 from .textbytes import U, mix, text_shingles
 
-GROUPS, PARTS, WHOLE = 24, 3, 240
-SKETCH = 512
+GROUPS, PARTS, WHOLE = 26, 3, 216
+#: The bands' upper sizes, and each one's groups and share of the domain (as the largest hash that it looks at).
+UPPER = np.array([int(8 * 2 ** (b / 2)) for b in range(60)], np.int64)
+_GROUPS = np.where(UPPER <= 8, GROUPS, np.minimum(GROUPS, UPPER * 2 // 9 // 2 + 3))
+_SHARE = np.minimum(1.0, WHOLE / UPPER)
+_LAST = np.array([2**64 - 1 if s == 1 else int(s * 2**64) for s in _SHARE.tolist()], np.uint64)
+#: Bits of a parity sketch, the share of the domain that it covers by band, and bands of one share in one class.
+SKETCH = 2048
+_COVER = np.minimum(1.0, 1024 / UPPER)
+_COVER_LAST = np.array([2**64 - 1 if s == 1 else int(s * 2**64) for s in _COVER.tolist()], np.uint64)
+_CLASS = np.where(_COVER == 1, 0, np.arange(60))
 _TAGS = mix(np.arange(1, 1 << 14).astype(U))
 _SIGNED = pa.int64()
 
 
 def band(n: np.ndarray) -> np.ndarray:
-    """0 up to WHOLE shingles, then one more for each doubling."""
-    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / WHOLE))).astype(np.int64)
+    """The first band whose upper size is n or more."""
+    return np.searchsorted(UPPER, n).astype(np.int64)
 
 
-def _inside(flat: np.ndarray, owner: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _inside(flat: np.ndarray, owner: np.ndarray, bands: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shingles in the share of the domain that their owner's band looks at."""
-    at = bands[owner]
-    keep = (at == 0) | ((flat >> (U(64) - np.maximum(at, 1).astype(U))) == 0)
+    keep = flat <= last[bands[owner]]
     return flat[keep], owner[keep]
 
 
 def signatures(flat: np.ndarray, owner: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(owner, signature)`` of sets in these bands; ``flat`` are the shingles of all sets, ``owner`` their set."""
-    flat, owner = _inside(flat, owner, bands)
+    flat, owner = _inside(flat, owner, bands, _LAST)
     n, width = len(bands), GROUPS * PARTS
     spread = mix(flat ^ _TAGS[0])
-    slot = owner * width + (spread % U(width)).astype(np.int64)
+    slot = owner * width + (spread % (_GROUPS[bands] * PARTS).astype(U)[owner]).astype(np.int64)
     held = np.zeros(n * width, U)
     np.add.at(held, slot, mix(spread + _TAGS[1]))
     held = held.reshape(n, GROUPS, PARTS)
@@ -64,11 +76,11 @@ def signatures(flat: np.ndarray, owner: np.ndarray, bands: np.ndarray) -> tuple[
 
 
 def sketches(flat: np.ndarray, owner: np.ndarray, bands: np.ndarray) -> np.ndarray:
-    """A parity sketch of each set: bit i tells whether an odd number of its shingles fall on i. ``n x 8`` words."""
-    flat, owner = _inside(flat, owner, bands)
+    """A parity sketch of each set: bit i tells whether an odd number of its shingles fall on i. One row of words a set."""
+    flat, owner = _inside(flat, owner, bands, _COVER_LAST)
     bit = (mix(flat ^ _TAGS[3]) % U(SKETCH)).astype(np.int64)
     odd = (np.bincount(owner * SKETCH + bit, minlength=len(bands) * SKETCH) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(bands), SKETCH), axis=1).view(U)
+    return np.packbits(odd.reshape(len(bands), SKETCH), axis=1).view(np.int64)
 
 
 def _keys(flat: np.ndarray, owner: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -88,26 +100,38 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = band(n), band(n * 5 // 4)
             two = np.flatnonzero(low != high)
             of, sig = signatures(flat, owner, low)
-            again = np.isin(owner, two)
-            of2, sig2 = signatures(flat[again], np.searchsorted(two, owner[again]), high[two])
+            of2, sig2 = _of(flat, owner, two, high, signatures)
             of, sig = np.concatenate((of, two[of2])), np.concatenate((sig, sig2))
             order = np.argsort(of, kind="stable")
             cut = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(sets)))))
-            ones, twos = sketches(flat, owner, low), sketches(flat, owner, high)
-            lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64), _SIGNED))
-            eight = np.arange(len(sets) + 1) * 8
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(row, len(sets)),
-                    pa.array(n, _SIGNED),
-                    pa.array(key.view(np.int64), _SIGNED),
-                    lists(sig[order], cut),
-                    pa.array(low.astype(np.int32)),
-                    lists(np.ascontiguousarray(ones).reshape(-1), eight),
-                    lists(np.ascontiguousarray(twos).reshape(-1), eight),
-                ],
-                ["__id", "n", "key", "sigs", "band", "low", "high"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(n, _SIGNED), pa.array(key.view(np.int64), _SIGNED), _lists(sig[order].view(np.int64), cut)], ["__id", "n", "key", "sigs"])
+
+
+def _of(flat: np.ndarray, owner: np.ndarray, some: np.ndarray, bands: np.ndarray, f):
+    """``f`` for some of the sets, in these bands."""
+    own = np.isin(owner, some)
+    return f(flat[own], np.searchsorted(some, owner[own]), bands[some])
+
+
+def _lists(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values, _SIGNED))
+
+
+def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and sketch of each set, in its band's class and, if another, in that of its largest possible partner."""
+    for batch in batches:
+        for row, sets in text_shingles(batch.column(1)):
+            n = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate(sets) if len(sets) else np.zeros(0, U)
+            owner = np.repeat(np.arange(len(sets)), n)
+            own = batch.column(0).slice(row, len(sets))
+            right = _keys(flat, owner, n).view(np.int64) == own.to_numpy()
+            low, high = band(n), band(n * 5 // 4)
+            for bands, some in ((low, np.flatnonzero(right)), (high, np.flatnonzero(right & (_CLASS[low] != _CLASS[high])))):
+                if len(some):
+                    words = _of(flat, owner, some, bands, sketches)
+                    parts = [pa.array(n[some], _SIGNED), pa.array(_CLASS[bands[some]].astype(np.int32)), _lists(np.ascontiguousarray(words).reshape(-1), np.arange(len(some) + 1) * (SKETCH // 64))]
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(some)), pa.StructArray.from_arrays(parts, ["n", "class", "sketch"])], ["id", "trait"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,24 +143,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = np.concatenate(sets) if sets else np.zeros(0, U)
             own = batch.column(0).slice(row, len(sets))
             right = pa.array(_keys(flat, np.repeat(np.arange(len(sets)), n), n).view(np.int64) == own.to_numpy())
-            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat.view(np.int64), _SIGNED))
-            yield pa.RecordBatch.from_arrays([own.filter(right), lists.filter(right)], ["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([own.filter(right), _lists(flat.view(np.int64), cut).filter(right)], ["key", "shingles"])
 
 
 def _near(x: str, y: str) -> Column:
     """Sizes allow the similarity, and the sketches don't rule it out.
 
-    Sets that may link differ in at most (|A| + |B|) / 9 shingles. Differing bits are a lower bound of that. In a band that
-    looks at a share of the domain, the bound has eight standard deviations added.
+    Sets that may link differ in at most (|A| + |B|) / 9 shingles, and sketches of whole sets in no more bits than that.
+    Where sketches cover a share of the domain, the expected number of differing bits has six standard deviations added.
     """
     a, b = (lambda f: F.col(f"{x}.{f}")), (lambda f: F.col(f"{y}.{f}"))
-    sizes = (a("n") * 100 >= b("n") * 80) & (b("n") * 100 >= a("n") * 80)
-    deeper = F.greatest(a("band"), b("band"))
-    own = lambda s: F.when(s("band") == deeper, s("low")).otherwise(s("high"))
-    u, v = own(a), own(b)
-    apart = sum((F.bit_count(F.get(u, F.lit(i)).bitwiseXOR(F.get(v, F.lit(i)))) for i in range(8)), F.lit(0))
-    share = (a("n") + b("n")) / 9.0 / F.pow(F.lit(2.0), deeper)
-    return sizes & (apart <= F.when(deeper == 0, share).otherwise(share + 8 * F.sqrt(share) + 10))
+    sizes = (a("class") == b("class")) & (a("n") * 100 >= b("n") * 80) & (b("n") * 100 >= a("n") * 80)
+    apart = sum((F.bit_count(F.get(a("sketch"), F.lit(i)).bitwiseXOR(F.get(b("sketch"), F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    most = (a("n") + b("n")) / 9.0
+    share = 1024.0 / F.floor(8 * F.pow(F.lit(2.0), a("class") / 2))
+    bits = SKETCH / 2 * (1 - F.exp(most * share * (-2.0 / SKETCH)))
+    return sizes & (apart <= F.when(a("class") == 0, most).otherwise(bits + 6 * F.sqrt(bits)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +171,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     this very set. Repeated rows are repeated in the result. Other columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    signed = stash(rows.mapInArrow(_sign, f"__id {dict(rows.dtypes)['__id']}, n long, key long, sigs array<long>, band int, low array<long>, high array<long>"))
+    signed = stash(rows.mapInArrow(_sign, f"__id {dict(rows.dtypes)['__id']}, n long, key long, sigs array<long>"))
     plain = signed.select("__id", "n", "key")
     live = signed.where("n > 0 and __id is not null")
     classes = live.groupBy("key").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n_class"))
@@ -159,24 +181,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one = stash(spread_join(live, firsts.withColumnRenamed("__id", "first"), "key", F.col("__id")).where(F.col("__id") == F.col("first")).drop("first", "__id").dropDuplicates(["key"]))
     members = one.select(F.col("key").alias("id"), F.explode("sigs").alias("bucket"))
     repeated = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    members = stash(members.join(repeated, "bucket"))
-    traits = one.select(F.col("key").alias("id"), F.struct("n", "band", "low", "high").alias("trait"))
-    traits = stash(traits.join(members.select("id").distinct(), "id"))
+    members = stash(spread_join(members, stash(repeated), "bucket", F.col("id"), small=1_000_000))
+
+    def texts(keys: DataFrame) -> DataFrame:
+        """The texts of these classes' first rows."""
+        return rows.join(broadcast_if_small(stash(keys.distinct().join(firsts, "key"))), "__id").select("key", "__text")
+
+    shared = members.select(F.col("id").alias("key"))
+    traits = stash(texts(shared).mapInArrow(_traits, "id long, trait struct<n: long, class: int, sketch: array<long>>").select("id", "trait", "trait.class").dropDuplicates(["id", "class"]).drop("class"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(firsts, "key"))
-        texts = rows.join(broadcast_if_small(ids), "__id").select("key", "__text")
-        sets = stash(texts.mapInArrow(_sets, "key long, shingles array<long>").dropDuplicates(["key"]))
+        sets = stash(texts(pairs.select(F.explode(F.array("a", "b")).alias("key"))).mapInArrow(_sets, "key long, shingles array<long>").dropDuplicates(["key"]))
         a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
         b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-        both = spread_join(pairs.join(b, "b"), a, "a", F.col("b"), counted=pairs)
+        both = spread_join(pairs.join(b, "b"), a, "a", F.col("b"), counted=pairs, small=0)
         common = F.size(F.array_intersect("x", "y"))
         return both.where(100 * common >= 80 * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    links = link_buckets(members, traits, _near, verify)
-    comps = components(links).join(firsts.select(F.col("key").alias("id"), F.col("__id").alias("first")), "id")
-    least = comps.groupBy("comp").agg(F.min("first").alias("least"))
-    linked = comps.join(least, "comp").select(F.col("id").alias("key"), "least")
+    comps = bucket_components(members, traits, _near, verify, F.floor(F.log(F.col("trait.n")) / F.log(F.lit(1.25))))
+    comps = stash(spread_join(comps, firsts.select(F.col("key").alias("id"), F.col("__id").alias("first")), "id", F.col("comp")))
+    least = stash(comps.groupBy("comp").agg(F.min("first").alias("least")))
+    linked = spread_join(comps, least, "comp", F.col("id")).select(F.col("id").alias("key"), "least")
     final = stash(classes.join(linked, "key", "left").select("key", F.coalesce("least", "first").alias("component_id"), "n_class"))
     out = spread_join(plain.where("n > 0 and __id is not null"), final, "key", F.col("__id"))
     out = out.select(F.col("__id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_class")
