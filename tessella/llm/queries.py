@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, ngram_join, packing, quality
+from . import decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, surrogates, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +39,27 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {
-    "op2_exact_dedup": op2_exact_dedup,
-    "op4_decontamination": op4_decontamination,
-    "op6_packing": op6_packing,
-    "op8_quality_classifier": op8_quality_classifier,
-    "op9_ngram_join": op9_ngram_join,
-}
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the key of this example; a deployment passes its own secret."""
+    return surrogates.with_surrogates(_table(spark, sf_dir, "documents"), b"example key, not a secret")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_groups(_table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+_FOUND = [op1_url_filter, op2_exact_dedup, op3_secret_scan, op4_decontamination, op5_pii_surrogates, op6_packing, op7_line_dedup, op8_quality_classifier, op9_ngram_join, op10_license_scan]
+QUERIES = {f.__name__: f for f in _FOUND}
 ORACLES = {"op2_exact_dedup": OP2_SQL}
