@@ -70,7 +70,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: i
     met = hashed.join(F.broadcast(runs), "h", "left")
     # One row a text where nothing matched, one a match elsewhere: summed up before the shuffle.
     votes = met.groupBy("__id", "__h", "tid", (F.col("p") - F.col("pos")).alias("d")).agg(
-        F.max("n").alias("n"), F.min(F.when(F.col("tid").isNotNull(), F.col("p"))).alias("lo"), F.max(F.when(F.col("tid").isNotNull(), F.col("p"))).alias("hi"), F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("pos"))).alias("held")
+        F.max("n").alias("n"), F.min(F.when(F.col("tid").isNotNull(), F.col("p"))).alias("lo"), F.max(F.when(F.col("tid").isNotNull(), F.col("p"))).alias("hi"), F.bit_or(F.expr("shiftleft(1L, pos)")).alias("held")
     )
     order = W.partitionBy("__id", "__h", "tid").orderBy("d")
     new = F.when(F.col("d") - F.lag("d").over(order) <= gap, 0).otherwise(1)
