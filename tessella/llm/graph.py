@@ -39,7 +39,7 @@ def bucket_components(members: DataFrame, traits: DataFrame, near: Callable[[str
 
     First each bucket's members are compared with one of them, the first in one of ``orders`` pseudo-random orders of all
     ids that the bucket picks, so that a family of copies meets a few common heads. A bucket whose members are then in one
-    component is done: any further link would join what is joined. In the others, the members outside the head's component
+    component is done: any further link would join what is joined. In the others, the members outside the largest component
     are compared with all members of other components. So no link between different components is lost, and a bucket of
     copies costs as many comparisons as it has members.
     """
@@ -49,7 +49,9 @@ def bucket_components(members: DataFrame, traits: DataFrame, near: Callable[[str
     pairs = stash(shared.where("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
     comps = components(stash(verify(_near(pairs, traits, near))))
     at = stash(spread_join(shared, comps, "id", F.col("bucket"), "left").select("bucket", "id", "head", F.coalesce("comp", "id").alias("comp")))
-    mixed = stash(at.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("id") == F.col("head"), F.col("comp"))).alias("main")).where("low <> high").select("bucket", "main"))
+    sizes = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    mixed = stash(mixed.select("bucket", "main"))
     left = stash(spread_join(at, mixed, "bucket", F.col("id")).join(traits, "id"))
     odd = left.where("comp <> main").select("bucket", F.col("id").alias("a"), F.col("trait").alias("x"), F.col("comp").alias("ca"), F.explode(F.array(size - 1, size, size + 1)).alias("size"))
     every = left.select("bucket", F.col("id").alias("b"), F.col("trait").alias("y"), F.col("comp").alias("cb"), size.alias("size"))
