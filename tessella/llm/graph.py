@@ -30,7 +30,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components need more than {rounds} rounds")
 
 
-def bucket_components(members: DataFrame, traits: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], size: Column, orders: int = 8) -> DataFrame:
+def bucket_components(members: DataFrame, traits: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], size: Column, orders: int = 8, finer: Callable[[DataFrame], DataFrame] | None = None, coarse: tuple[Column, Callable[[str, str], Column]] | None = None) -> DataFrame:
     """``(id, comp)`` of the components that links make between ids that share a bucket; ids without a link are left out.
 
     ``members(bucket, id)`` and ``traits(id, trait)`` are written tables; ``near(x, y)`` is a cheap condition on two traits
@@ -42,21 +42,30 @@ def bucket_components(members: DataFrame, traits: DataFrame, near: Callable[[str
     component is done: any further link would join what is joined. In the others, the members outside the largest component
     are compared with all members of other components. So no link between different components is lost, and a bucket of
     copies costs as many comparisons as it has members.
+
+    Buckets where many unrelated ids meet would cost all their pairs; ``finer`` takes the ids of the mixed buckets, a written
+    table ``(id)``, and returns other members ``(bucket, id)`` such that linked ones of these ids share a bucket there. The
+    mixed ones of those buckets then take the place of the first. ``coarse`` is a short form of the trait and a condition on
+    two of them that ``near`` ones meet; the last comparisons use it before ``near``, as they read many pairs.
     """
+    brief, close = coarse or (F.col("trait"), near)
     order = F.xxhash64(F.pmod("bucket", F.lit(orders)), "id")
     heads = stash(members.groupBy("bucket").agg(F.min_by("id", order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     shared = stash(spread_join(members, heads, "bucket", F.col("id")))
     pairs = stash(shared.where("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
     comps = components(stash(verify(_near(pairs, traits, near))))
     at = stash(spread_join(shared, comps, "id", F.col("bucket"), "left").select("bucket", "id", "head", F.coalesce("comp", "id").alias("comp")))
-    sizes = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = stash(mixed.select("bucket", "main"))
-    left = stash(spread_join(at, mixed, "bucket", F.col("id")).join(traits, "id"))
+    left = _mixed(at)
+    if finer is not None:
+        ids = stash(left.groupBy("id").agg(F.first("comp").alias("comp")))
+        left = _mixed(stash(spread_join(finer(ids.select("id")), ids, "id", F.col("bucket"))))
+    left = stash(left.join(traits.select("id", brief.alias("trait")), "id"))
     odd = left.where("comp <> main").select("bucket", F.col("id").alias("a"), F.col("trait").alias("x"), F.col("comp").alias("ca"), F.explode(F.array(size - 1, size, size + 1)).alias("size"))
     every = left.select("bucket", F.col("id").alias("b"), F.col("trait").alias("y"), F.col("comp").alias("cb"), size.alias("size"))
-    rest = odd.join(every, ["bucket", "size"]).where((F.col("ca") != F.col("cb")) & near("x", "y"))
+    rest = odd.join(every, ["bucket", "size"]).where((F.col("ca") != F.col("cb")) & close("x", "y"))
     rest = stash(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if coarse is not None:
+        rest = stash(_near(rest, traits, near))
     if rest.isEmpty():
         return comps
     more = stash(verify(rest))
@@ -68,6 +77,13 @@ def bucket_components(members: DataFrame, traits: DataFrame, near: Callable[[str
     return stash(spread_join(known, over.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", F.col("id"), "left").select("id", F.coalesce("top", "comp").alias("comp")))
 
 
+def _mixed(at: DataFrame) -> DataFrame:
+    """The rows of buckets with several components, and each bucket's largest one as ``main``; ``at(bucket, id, comp)`` is written."""
+    sizes = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    return stash(spread_join(at.select("bucket", "id", "comp"), stash(mixed.select("bucket", "main")), "bucket", F.col("id")))
+
+
 def _near(pairs: DataFrame, traits: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
     """The ``pairs(a, b)`` of which some traits are near."""
     x, y = (traits.select(F.col("id").alias(k), F.col("trait").alias(t)) for k, t in (("a", "x"), ("b", "y")))

@@ -11,6 +11,10 @@ Bands of more than WHOLE shingles look at a fixed share of the domain that leave
 that the number of signatures doesn't grow with the text: at similarity 0.8 exactly, a pair then shares none with a
 probability of about 1e-8 or less, which falls steeply with more similarity. Signatures only propose; links are verified on
 the whole sets.
+
+A passage that many texts share gives them signatures in common. Where signatures bring different components together, the
+sets there are put in one order of shingles, rarest first: of two sets that link, the first fifth of each and one more have
+a shingle in common. Only pairs that meet there too go on.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, spread_join, stash
@@ -33,7 +37,7 @@ _GROUPS = np.where(UPPER <= 8, GROUPS, np.minimum(GROUPS, UPPER * 2 // 9 // 2 +
 _SHARE = np.minimum(1.0, WHOLE / UPPER)
 _LAST = np.array([2**64 - 1 if s == 1 else int(s * 2**64) for s in _SHARE.tolist()], np.uint64)
 #: Bits of a parity sketch, the share of the domain that it covers by band, and bands of one share in one class.
-SKETCH = 2048
+SKETCH, FOLD = 2048, 512
 _COVER = np.minimum(1.0, 1024 / UPPER)
 _COVER_LAST = np.array([2**64 - 1 if s == 1 else int(s * 2**64) for s in _COVER.tolist()], np.uint64)
 _CLASS = np.where(_COVER == 1, 0, np.arange(60))
@@ -117,6 +121,16 @@ def _lists(values: np.ndarray, cut: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values, _SIGNED))
 
 
+def _words(rows: np.ndarray) -> pa.Array:
+    return _lists(np.ascontiguousarray(rows).reshape(-1), np.arange(len(rows) + 1) * rows.shape[1])
+
+
+def _most_bits(n: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Differing bits of folded sketches that ``_close`` allows, where sketches cover a share of the domain."""
+    bits = FOLD / 2 * (1 - np.exp(n / 4 * _COVER[bands] * (-2.0 / FOLD)))
+    return np.ceil(bits + 6 * np.sqrt(bits)).astype(np.int64)
+
+
 def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and sketch of each set, in its band's class and, if another, in that of its largest possible partner."""
     for batch in batches:
@@ -130,8 +144,9 @@ def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for bands, some in ((low, np.flatnonzero(right)), (high, np.flatnonzero(right & (_CLASS[low] != _CLASS[high])))):
                 if len(some):
                     words = _of(flat, owner, some, bands, sketches)
-                    parts = [pa.array(n[some], _SIGNED), pa.array(_CLASS[bands[some]].astype(np.int32)), _lists(np.ascontiguousarray(words).reshape(-1), np.arange(len(some) + 1) * (SKETCH // 64))]
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(some)), pa.StructArray.from_arrays(parts, ["n", "class", "sketch"])], ["id", "trait"])
+                    fold = np.bitwise_xor.reduce(words.reshape(len(some), SKETCH // FOLD, FOLD // 64), axis=1)
+                    parts = [pa.array(n[some], _SIGNED), pa.array(_CLASS[bands[some]].astype(np.int32)), pa.array(_most_bits(n[some], bands[some]), _SIGNED), _words(words), _words(fold)]
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(some)), pa.StructArray.from_arrays(parts, ["n", "class", "most", "sketch", "fold"])], ["id", "trait"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +176,17 @@ def _near(x: str, y: str) -> Column:
     return sizes & (apart <= F.when(a("class") == 0, most).otherwise(bits + 6 * F.sqrt(bits)))
 
 
+def _close(x: str, y: str) -> Column:
+    """A cheap condition that pairs meet which ``_near`` lets through: sizes, and sketches folded to FOLD bits.
+
+    A partner of a set of n has at most 5n / 4 shingles, so the two differ in at most n / 4.
+    """
+    a, b = (lambda f: F.col(f"{x}.{f}")), (lambda f: F.col(f"{y}.{f}"))
+    sizes = (a("class") == b("class")) & (a("n") * 100 >= b("n") * 80) & (b("n") * 100 >= a("n") * 80)
+    apart = sum((F.bit_count(F.get(a("fold"), F.lit(i)).bitwiseXOR(F.get(b("fold"), F.lit(i)))) for i in range(FOLD // 64)), F.lit(0))
+    return sizes & (apart * 9 <= F.when(a("class") == 0, a("n") + b("n")).otherwise(9 * F.greatest(a("most"), b("most"))))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, n_class``: one row per row of ``docs``.
 
@@ -188,7 +214,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return rows.join(broadcast_if_small(stash(keys.distinct().join(firsts, "key"))), "__id").select("key", "__text")
 
     shared = members.select(F.col("id").alias("key"))
-    traits = stash(texts(shared).mapInArrow(_traits, "id long, trait struct<n: long, class: int, sketch: array<long>>").select("id", "trait", "trait.class").dropDuplicates(["id", "class"]).drop("class"))
+    traits = stash(texts(shared).mapInArrow(_traits, "id long, trait struct<n: long, class: int, most: long, sketch: array<long>, fold: array<long>>").select("id", "trait", "trait.class").dropDuplicates(["id", "class"]).drop("class"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         sets = stash(texts(pairs.select(F.explode(F.array("a", "b")).alias("key"))).mapInArrow(_sets, "key long, shingles array<long>").dropDuplicates(["key"]))
@@ -198,7 +224,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         common = F.size(F.array_intersect("x", "y"))
         return both.where(100 * common >= 80 * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    comps = bucket_components(members, traits, _near, verify, F.floor(F.log(F.col("trait.n")) / F.log(F.lit(1.25))))
+    def rare_first(ids: DataFrame) -> DataFrame:
+        """Of each of these sets, those of its rarest ``n / 5 + 1`` shingles that another of them has."""
+        sets = stash(texts(ids.select(F.col("id").alias("key"))).mapInArrow(_sets, "key long, shingles array<long>").dropDuplicates(["key"]))
+        held = sets.select(F.col("key").alias("id"), F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
+        often = stash(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+        held = stash(spread_join(held, often, "bucket", F.col("id"), small=1_000_000))
+        alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("m", "bucket"))
+        return held.select("id", "bucket", (rank + alone <= F.floor(F.col("n") / 5) + 1).alias("early")).where("early").select("bucket", "id")
+
+    size = F.floor(F.log(F.col("trait.n")) / F.log(F.lit(1.25)))
+    comps = bucket_components(members, traits, _near, verify, size, finer=rare_first, coarse=(F.struct("trait.n", "trait.class", "trait.most", "trait.fold"), _close))
     comps = stash(spread_join(comps, firsts.select(F.col("key").alias("id"), F.col("__id").alias("first")), "id", F.col("comp")))
     least = stash(comps.groupBy("comp").agg(F.min("first").alias("least")))
     linked = spread_join(comps, least, "comp", F.col("id")).select(F.col("id").alias("key"), "least")
