@@ -13,17 +13,19 @@ probability of about 1e-8 or less, which falls steeply with more similarity. Sig
 the whole sets.
 
 A passage that many texts share gives them signatures in common. Where signatures bring different components together, the
-sets there are put in one order of shingles, rarest first: of two sets that link, the first fifth of each and one more have
-a shingle in common. Only pairs that meet there too go on.
+sets there are put in one order of shingles, by how many fall on a shingle's slot: of two sets that link, the first fifth of
+each and one more have a shingle in common. Only pairs that meet there too go on. The counts of SLOTS slots are all that
+passes the driver, whatever the input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, spread_join, stash
@@ -38,6 +40,8 @@ _SHARE = np.minimum(1.0, WHOLE / UPPER)
 _LAST = np.array([2**64 - 1 if s == 1 else int(s * 2**64) for s in _SHARE.tolist()], np.uint64)
 #: Bits of a parity sketch, the share of the domain that it covers by band, and bands of one share in one class.
 SKETCH, FOLD = 2048, 512
+#: Slots in which shingles are counted to tell frequent passages from the rest; any counts give a valid order.
+SLOTS = 1 << 16
 _COVER = np.minimum(1.0, 1024 / UPPER)
 _COVER_LAST = np.array([2**64 - 1 if s == 1 else int(s * 2**64) for s in _COVER.tolist()], np.uint64)
 _CLASS = np.where(_COVER == 1, 0, np.arange(60))
@@ -161,6 +165,36 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([own.filter(right), _lists(flat.view(np.int64), cut).filter(right)], ["key", "shingles"])
 
 
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's sets fall on each slot."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for _, sets in text_shingles(batch.column(1)):
+            if sets:
+                counts += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["slot", "m"])
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % U(SLOTS)).astype(np.int64)
+
+
+def _rarest(counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first fifth of each set and one more, in the order of their slots' counts, then of the shingles."""
+    for batch in batches:
+        for row, sets in text_shingles(batch.column(1)):
+            n = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate(sets) if sets else np.zeros(0, U)
+            owner = np.repeat(np.arange(len(sets)), n)
+            own = batch.column(0).slice(row, len(sets)).to_numpy()
+            right = _keys(flat, owner, n).view(np.int64) == own
+            flat = flat[np.lexsort((flat, counts[_slot(flat)], owner))]
+            rank = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            early = (rank <= n[owner] // 5) & right[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(own[owner[early]]), pa.array(flat[early].view(np.int64))], ["id", "bucket"])
+
+
 def _near(x: str, y: str) -> Column:
     """Sizes allow the similarity, and the sketches don't rule it out.
 
@@ -225,14 +259,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return both.where(100 * common >= 80 * (F.size("x") + F.size("y") - common)).select("a", "b")
 
     def rare_first(ids: DataFrame) -> DataFrame:
-        """Of each of these sets, those of its rarest ``n / 5 + 1`` shingles that another of them has."""
-        sets = stash(texts(ids.select(F.col("id").alias("key"))).mapInArrow(_sets, "key long, shingles array<long>").dropDuplicates(["key"]))
-        held = sets.select(F.col("key").alias("id"), F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
-        often = stash(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-        held = stash(spread_join(held, often, "bucket", F.col("id"), small=1_000_000))
-        alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
-        rank = F.row_number().over(Window.partitionBy("id").orderBy("m", "bucket"))
-        return held.select("id", "bucket", (rank + alone <= F.floor(F.col("n") / 5) + 1).alias("early")).where("early").select("bucket", "id")
+        """Of each of these sets, those of its ``n / 5 + 1`` rarest shingles that another of them has among its own."""
+        own = stash(texts(ids.select(F.col("id").alias("key"))))
+        slots = own.mapInArrow(_slot_counts, "slot int, m long").groupBy("slot").agg(F.sum("m").alias("m")).toArrow()
+        counts = np.zeros(SLOTS, np.int64)
+        counts[slots["slot"].to_numpy()] = slots["m"].to_numpy()
+        early = stash(own.mapInArrow(partial(_rarest, counts), "id long, bucket long").distinct())
+        often = stash(early.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket"))
+        return spread_join(early, often, "bucket", F.col("id"), small=1_000_000)
 
     size = F.floor(F.log(F.col("trait.n")) / F.log(F.lit(1.25)))
     comps = bucket_components(members, traits, _near, verify, size, finer=rare_first, coarse=(F.struct("trait.n", "trait.class", "trait.most", "trait.fold"), _close))
