@@ -5,10 +5,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, surrogates, url_filter
+from tessella.llm.textbytes import columns
 
 UP = {i: i + 32 for i in range(65, 91)}
 COLUMNS = "doc_id long, text string, key string, id int, n int, bucket string, __row int"
@@ -220,6 +222,33 @@ def test_lines(spark):
     assert out[2] == "ok" and out[4] is None and out[5] == ""
 
 
+def test_long_lines_are_compared_on_characters(spark):
+    words = prose(21, 600).split(" ")
+    letters = " ".join(w[:-1] + "z" if i % 4 == 0 else w for i, w in enumerate(words))
+    heavy = " ".join("q" * 45 if i % 60 == 0 else w for i, w in enumerate(words))
+    swapped = " ".join("x" * 28 if i % 10 == 0 else w for i, w in enumerate(words))
+    plain = lambda x, y: line_dedup.distance(x, y) / max(len(x), len(y)) <= 0.2
+    assert len(" ".join(words)) > 2000 and plain(" ".join(words), letters) and plain(" ".join(words), heavy) and not plain(" ".join(words), swapped)
+    one = lambda x: next(line_dedup._texts(iter([pa.RecordBatch.from_arrays([pa.array([x]), pa.array([[int(line_dedup.measured(*columns(pa.array([x])), with_sims=False)[4].view(np.int64)[0])]])], ["t", "k"])])))
+    assert one(swapped).column(1)[0].as_py() == swapped.translate({i: 48 for i in range(48, 58)})
+    got = {r.doc_id: r for r in line_dedup.line_groups(frame(spark, [" ".join(words), heavy, swapped])).collect()}
+    assert got[0].group_id == got[1].group_id != got[2].group_id
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        x, y = ("".join(rng.choice(list("abé日"), rng.integers(0, 12))) for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x):
+            row = _next_row(row, i, c, y)
+        assert line_dedup.distance(x, y) == row[-1], (x, y)
+
+
+def _next_row(row, i, c, y):
+    new = [i + 1]
+    for j, d in enumerate(y):
+        new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (c != d)))
+    return new
+
+
 def test_urls(spark):
     urls = [f"https://a.example.net/en/{i}" for i in range(30)] + [f"http://b.EXAMPLE.net/es/{i}?q" for i in range(30)]
     odd = [None, "", "nothing", "http://x.com", "http://www.example.com/en/1#a", "ftp://sub.example.com/en/", "http://com/x", "http://badcom/x", "://", "http://h?x/y"]
