@@ -20,10 +20,15 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Words that announce a credential, beyond those of the base pattern, and a value behind them.
-CONTEXT = re.compile(r"""\b(pwd|pass|passphrase|passcode|auth|bearer|credentials?|private_?key|access_?key|client_?secret|secret_?key)["']?\x20*(?:[:=]|\x20is\x20)\x20*["']?([^\s"'<>]{6,})""", re.I | re.A)
+#: Words that announce a credential, and a value behind them. The word may be a part of a longer name: parts are set off by
+#: underscores, dots, hyphens or capitals, and before long words by nothing. After bearer or basic a space is enough if
+#: the value has a digit or a capital behind a small letter, as prose ("a basic understanding") has the same form.
+_START = r"(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))"
+_NAME = rf"(?:{_START}(?:pwd|pass|auth|authorization|bearer|token)|passwd|password|passphrase|passcode|secret|credentials?|private[_-]?key|access[_-]?key|api[_-]?key)"
+_REST = r"(?:s?[0-9]{0,4}(?:[_.-][A-Za-z0-9_.-]{0,60}|(?-i:(?<=[a-z0-9])[A-Z][A-Za-z0-9_.-]{0,60}))?)"
+CONTEXT = re.compile(rf"""(?:{_NAME}{_REST}["']?\x20*(?:[:=]|\x20is\x20)\x20*["']?(?:(?:bearer|basic|token)\x20+["']?)?|{_START}(?:bearer|basic)\x20+["']?(?=[^\s"'<>]*(?-i:[0-9]|[a-z][A-Z])))([^\s"'<>]{{6,}})""", re.I | re.A)
 _HINT = re.compile(r"pass|secret|token|api_?key", re.I | re.A)
-_MORE = re.compile(r"pwd|pass|auth|bearer|credential|key|secret", re.I | re.A)
+_MORE = re.compile(r"pwd|pass|auth|bearer|basic|credential|key|secret|token", re.I | re.A)
 #: Common parts of passwords, the most common first.
 WORDS = "password love admin welcome login master dragon monkey qwerty letmein hello secret summer winter spring autumn shadow sunshine princess football baseball hunter soccer batman superman michael jordan charlie thomas robert daniel jessica ashley test user root guest changeme default access server data house happy money flower tiger eagle silver golden orange purple yellow black white green blue star moon pass word key token".split()
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
@@ -95,9 +100,10 @@ def costly_values(text: str, least: float) -> list[tuple[int, int, float]]:
     out = []
     if _MORE.search(text):
         for m in CONTEXT.finditer(text):
-            cost = guess_cost(m[2])
-            if cost >= least:
-                out.append((m.start(2), m.end(2), cost))
+            value = m[1].rstrip(",;)")
+            cost = guess_cost(value)
+            if cost >= least and len(value) >= 6:
+                out.append((m.start(1), m.start(1) + len(value), cost))
     return out
 
 

@@ -184,6 +184,15 @@ def test_secrets(spark):
     assert secret_scan.guess_cost("aaaaaaaaaaaaaaaa") < 4 and secret_scan.guess_cost("") == 0
 
 
+def test_secrets_under_longer_names():
+    value = "wJalrXUtnFEMI/K7MDENG"
+    for form in ("aws_secret_access_key = {}", "DB_PWD={}", "db_pass: {}", "SECRET_KEY_BASE={}", "Authorization: Bearer {}", "Bearer {}", "Authorization: Basic {}", "dbPassword={}", '"secretAccessKey": "{}",', "PGPASSWORD={}", "my-api-key: {}, next", "pwd is {}"):
+        text = "some text\n" + form.format(value) + " tail"
+        assert [text[a:b] for a, b, _ in secret_scan.costly_values(text, 8.0)] == [value], form
+    for text in ("a basic understanding of things", "monkey = wJalrXUtnFEMI", "compass: wJalrXUtnFEMI", "author: wJalrXUtnFEMI", "passage: wJalrXUtnFEMI", "the bearer understands"):
+        assert secret_scan.costly_values(text, 8.0) == [], text
+
+
 def test_surrogates(spark):
     key = b"k"
     texts = ["Mail Jo.72@mail3.example.com or +1 (017) 555-7713, Dr. Jane Smith met Mr Smith; card 4111 1111 1111 1111 and 4111111111111112, host 10.0.0.1.", "jo.72@MAIL3.example.com again 10.0.0.1", "clean text of 12 words", None, ""]
