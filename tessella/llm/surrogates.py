@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m",
 _NAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-яё]+"
 PERSON = re.compile(rf"\b({'|'.join(TITLES)})\.?[ ]({_NAME})(?:[ ]({_NAME}))?")
 _TITLE = re.compile("|".join(TITLES))
+_WORD = re.compile(r"[^\W\d_]+")
 #: Given names by gender and script, and the syllables of family names by script.
 GIVEN = {
     ("f", "latin"): "Anna Clara Elena Emma Eva Ida Irene Julia Laura Lea Lina Marta Mia Nora Olga Paula Rosa Sara Sofia Vera".split(),
@@ -134,11 +136,29 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             if 7 <= len(digits) <= 15 and ("+" in m[0] or "(" in m[0] or len(digits) >= 9):
                 add(m.start(), m.end(), "phone", digits)
     if _TITLE.search(text):
-        for m in PERSON.finditer(text):
+        genders: dict[str, set[str]] = {}
+        families = set()
+        titled = list(PERSON.finditer(text))
+        for m in titled:
             if m[3]:
-                add(m.start(2), m.end(2), f"given_{TITLES[m[1]]}", m[2].lower())
+                genders.setdefault(m[2].lower(), set()).add(TITLES[m[1]])
+            families.add(m[3 if m[3] else 2].lower())
+        # One kind a given name and text: the gender that titles tell; neutral if none does, or both.
+        given = {name: f"given_{min(told - {'n'}) if len(told - {'n'}) == 1 else 'n'}" for name, told in genders.items()}
+        for m in titled:
+            if m[3]:
+                add(m.start(2), m.end(2), given[m[2].lower()], m[2].lower())
             k = 3 if m[3] else 2
             add(m.start(k), m.end(k), "family", m[k].lower())
+        found.sort()
+        starts, bare = [f[0] for f in found], []
+        for m in _WORD.finditer(text) if titled else ():
+            name = m[0].lower()
+            if (name in families or name in given) and (m[0] == m[0].capitalize() or m[0].isupper()):
+                i = bisect_right(starts, m.start())
+                if (not i or found[i - 1][1] <= m.start()) and (i == len(found) or m.end() <= found[i][0]):
+                    bare.append((m.start(), m.end(), "family" if name in families else given[name], name))
+        found += bare
     return sorted(found)
 
 
@@ -193,7 +213,8 @@ def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
     """``doc_id, n_entities, spans, text``: one row per row of ``docs``; text has every entity replaced.
 
     Spans are ``kind:start:end`` of the original text, in code points. Kinds: email, ip, card (right check digit), number,
-    phone, given_f/m/n and family (names behind a title). Texts without entities stay as they are, null stays null and empty
+    phone, given_f/m/n and family (names behind a title, and the same names elsewhere in the text, capitalised or in capitals;
+    a given name has one gender in a text, the titles' one or n). Texts without entities stay as they are, null stays null and empty
     stays empty. Whoever holds ``key`` can undo numbers; keep it secret. Repeated rows are treated each, a null id is
     carried, other columns aren't read.
     """

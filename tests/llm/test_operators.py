@@ -208,6 +208,15 @@ def test_surrogates(spark):
     assert sorted(surrogates.permuted(key, v, 1000, "t") for v in range(1000)) == list(range(1000))
 
 
+def test_surrogates_of_names_without_title():
+    text = "Dr. Jane Smith came. Smith said: JANE, the smith. Mrs Jane Smith's car; Smithson, Jane_1 and smith.x@mail.org"
+    found = [(text[a:b], k, c) for a, b, k, c in surrogates.entities(text)]
+    jane, smith = ("given_f", "jane"), ("family", "smith")
+    assert found == [("Jane", *jane), ("Smith", *smith), ("Smith", *smith), ("JANE", *jane), ("Jane", *jane), ("Smith", *smith), ("Jane", *jane), ("smith.x@mail.org", "email", "smith.x@mail.org")]
+    assert {k for _, _, k, c in surrogates.entities("Mr Kim Poe, Dr Kim Poe and Mrs Kim Doe. Kim") if c == "kim"} == {"given_n"}
+    assert surrogates.entities("Jane met Smith") == []
+
+
 def test_surrogate_collisions(spark, monkeypatch):
     real = surrogates.surrogate
     known = spark.createDataFrame([("family", n) for n in ("ann", "bob", "cyd", "dan")], "kind string, entity string")
