@@ -53,7 +53,7 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_groups(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_groups(_table(spark, sf_dir, "documents"), least_words=1)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

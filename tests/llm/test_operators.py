@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, surrogates, url_filter
+from tessella.llm import decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, queries, secret_scan, surrogates, url_filter
 from tessella.llm.textbytes import columns
 
 UP = {i: i + 32 for i in range(65, 91)}
@@ -260,6 +260,17 @@ def test_long_lines_are_compared_on_characters(spark):
         assert line_dedup.distance(x, y) == row[-1], (x, y)
 
 
+def test_short_lines(spark, tmp_path):
+    lines = ["ok", "OK!", "x", "", "日本語の文章です", "日本語の文章です。", "日本語の文書です", "abcdefghij", "abXdefgYij", "abcdeZZZij"]
+    frame(spark, ["\n".join(lines), "ok\n\nabcdefghi"]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line): r for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    group = {k: r.group_id for k, r in got.items()}
+    assert group[0, 0] == group[0, 1] == group[1, 0] != group[0, 2] and not got[1, 0].kept and got[0, 0].group_size == 3
+    assert got[0, 3].kept and got[1, 1].kept and got[0, 3].group_size == 1
+    assert group[0, 4] == group[0, 6] and got[0, 6].kept is False
+    assert group[0, 7] == group[0, 8] == group[1, 2] != group[0, 9]
+
+
 def _next_row(row, i, c, y):
     new = [i + 1]
     for j, d in enumerate(y):
