@@ -271,6 +271,18 @@ def test_short_lines(spark, tmp_path):
     assert group[0, 7] == group[0, 8] == group[1, 2] != group[0, 9]
 
 
+def test_lines_with_one_word_replaced(spark):
+    pairs = []
+    for seed, n in enumerate([4, 5, 6, 8, 10, 15, 20, 30] * 4):
+        words = (prose(100 + seed, 40).replace("w", "syl") + " ").split(" ")[:n]
+        other = list(words)
+        other[(seed * 7) % n] = "q" + words[(seed * 7) % n][1:-1] + "z"
+        pairs += [" ".join(words), " ".join(other)]
+    pairs = [p for i in range(0, len(pairs), 2) for p in pairs[i : i + 2] if line_dedup.distance(*pairs[i : i + 2]) <= 0.2 * len(pairs[i])]
+    got = {r.line: r.group_id for r in line_dedup.line_groups(frame(spark, ["\n".join(pairs)])).collect()}
+    assert len(pairs) > 50 and all(got[i] == got[i + 1] for i in range(0, len(pairs), 2))
+
+
 def _next_row(row, i, c, y):
     new = [i + 1]
     for j, d in enumerate(y):
