@@ -61,5 +61,11 @@ def preflight_cardinality(df: DataFrame, key: str, limits: tuple[int, ...]) -> D
 
 def dominance(df: DataFrame, key: str, size: str, factor: float = 10.0) -> DataFrame:
     """Keys whose largest size is more than ``factor`` times the second one."""
-    top = df.groupBy(key).agg(F.max_by(size, size).alias("first"), F.slice(F.sort_array(F.collect_list(size), False), 1, 2).alias("two"))
-    return top.where(F.size("two") > 1).select(key, "first", F.col("two")[1].alias("second"), (F.col("first") > factor * F.col("two")[1]).alias("dominant"))
+    sizes = df.where(F.col(size).isNotNull()).groupBy(key, size).agg(F.count(F.lit(1)).alias("__n"))
+    # Partial maxima only: a key of any number of rows keeps two sizes a task.
+    most = sizes.groupBy(key).agg(F.max(F.struct(F.col(size).alias("v"), F.col("__n").alias("n"))).alias("__top"))
+    most = most.select(F.col(key).alias("__key"), "__top")
+    below = sizes.join(most, F.col(key).eqNullSafe(F.col("__key"))).where(F.col(size) < F.col("__top.v")).groupBy(F.col(key).alias("__own")).agg(F.max(size).alias("__below"))
+    top = most.join(below, F.col("__key").eqNullSafe(F.col("__own")), "left")
+    top = top.select(F.col("__key").alias(key), F.col("__top.v").alias("first"), F.when(F.col("__top.n") > 1, F.col("__top.v")).otherwise(F.col("__below")).alias("second"))
+    return top.where("second is not null").select(key, "first", "second", (F.col("first") > factor * F.col("second")).alias("dominant"))
