@@ -3,8 +3,8 @@
 A task reads its documents in order and packs them in pools of about POOL tokens: it opens as many sequences as the pool
 fills exactly, takes documents by descending length and gives each to the sequence of least attention cost (linear plus
 quadratic in the pieces' lengths) that has room for all of it; where none has, the one with most room takes what fits and
-the rest goes on. What is left of a task's last pool fills sequences whose lengths are powers of two, which need no
-padding. Nothing shuffles, and a task holds one pool at a time.
+the rest goes on. What is left over when all are full waits for the next pool. What is left of a task's last pool fills
+sequences whose lengths are powers of two, which need no padding. Nothing shuffles, and a task holds one pool at a time.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import LOWER, chunks, columns, hash_runs
+from .textbytes import LOWER, chunks, columns, hash_runs, same_runs
 
 POOL = 1 << 21
-CACHE = 600_000
+#: Runs of characters whose ids a task remembers, and their bytes in all.
+CACHE, CACHE_BYTES = 500_000, 32 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 #: Letters, digits and other marks of ASCII; 3 for the lead and tail of letters from U+00C0 to U+017F; 4 needs the tokenizer's own split.
@@ -48,7 +49,8 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -83,18 +85,26 @@ class Ids:
         first = np.searchsorted(starts, at)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        codes, hashes = pd.factorize(hash_runs(own, starts, ends))
-        sample = np.empty(len(hashes), np.int64)
+        codes, found = pd.factorize(hash_runs(own, starts, ends))
+        sample = np.empty(len(found), np.int64)
         sample[codes[::-1]] = np.arange(len(codes))[::-1]
-        keys = hashes.tolist()
-        if len(self.known) > CACHE:
+        lower, raw = own.tobytes(), data.tobytes()
+        if not same_runs(own, starts, ends, sample[codes]).all():
+            # Two runs of one hash: tell the runs of this chunk apart by their bytes.
+            codes, found = pd.factorize(np.array([lower[a:b] for a, b in zip(starts, ends, strict=True)], object))
+            sample = np.empty(len(found), np.int64)
+            sample[codes[::-1]] = np.arange(len(codes))[::-1]
+        bounds = list(zip(starts[sample].tolist(), ends[sample].tolist(), strict=True))
+        keys = [lower[a:b] for a, b in bounds]
+        if len(self.known) > CACHE or self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         new = [i for i, k in enumerate(keys) if k not in self.known]
         if new:
-            raw = data.tobytes()
             plain, odd = [], []
             for i in new:
-                a, b = starts[sample[i]], ends[sample[i]]
+                a, b = bounds[i]
+                self.held += b - a
                 (odd if opaque[a] else plain).append((keys[i], raw[a:b].decode("utf-8", "replace")))
             self._learn(plain, odd)
         found = [self.known[k] for k in keys]
@@ -106,7 +116,7 @@ class Ids:
         out = pool[np.arange(total[-1]) + np.repeat(begin[codes] - total[:-1], each)]
         return out, total[first]
 
-    def _learn(self, plain: list[tuple[int, str]], odd: list[tuple[int, str]]) -> None:
+    def _learn(self, plain: list[tuple[bytes, str]], odd: list[tuple[bytes, str]]) -> None:
         for i in range(0, len(plain), 5000):
             part = plain[i : i + 5000]
             ids = np.array(self.tokenizer.encode(" ".join(w for _, w in part), add_special_tokens=False).ids, np.uint16)
@@ -124,15 +134,25 @@ class Ids:
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> list[tuple[int, int, int, int, int]]:
-    """``(document, start, length, sequence, offset)`` of pieces that fill sequences of ``capacity`` and, for the rest, of
-    powers of two. Documents go by descending length, ties by position; sequences by cost, ties by number."""
+    """The pieces of ``place`` where nothing follows."""
+    return place(lengths, capacity, linear, quadratic)[0]
+
+
+def place(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 2048, last: bool = True) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
+    """``(document, start, length, sequence, offset)`` of pieces that fill sequences of ``capacity``; and what is left over.
+
+    With ``last`` the rest fills sequences of powers of two; else it comes back as ``(document, start)``, in no order.
+    Documents go by descending length, ties by position; sequences by cost, ties by number.
+    """
     total = int(lengths.sum())
-    rooms = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if (total % capacity) >> b & 1]
+    rooms = [capacity] * (total // capacity)
+    if last:
+        rooms += [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if (total % capacity) >> b & 1]
     room, cost, used = np.array(rooms, np.int64), np.zeros(len(rooms)), np.zeros(len(rooms), np.int64)
     waiting = [(-int(n), i, 0) for i, n in enumerate(lengths) if n]
     heapq.heapify(waiting)
-    out = []
-    while waiting:
+    out, free = [], int(room.sum())
+    while waiting and free:
         n, doc, start = heapq.heappop(waiting)
         fits = np.flatnonzero(room >= -n)
         s = int(fits[np.argmin(cost[fits])]) if len(fits) else int(np.argmax(room))
@@ -140,10 +160,11 @@ def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: f
         out.append((doc, start, take, s, int(used[s])))
         room[s] -= take
         used[s] += take
+        free -= take
         cost[s] += linear * take + quadratic * take * take
         if take < -n:
             heapq.heappush(waiting, (n + take, doc, start + take))
-    return out
+    return out, [(doc, start) for _, doc, start in waiting]
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1) -> DataFrame:
@@ -157,34 +178,42 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, opened = Ids(tokenizer), TaskContext.get().partitionId() << 32
-        waiting: list[tuple[pa.Array, list[np.ndarray]]] = []
+        # Names and token ids of the documents at hand, what earlier pools have placed of each, and its length in all.
+        names: list[pa.Array] = []
+        tokens: list[np.ndarray] = []
+        placed_before: list[int] = []
         held = 0
 
-        def packed() -> pa.RecordBatch:
-            nonlocal opened, held
-            names = pa.concat_arrays([n for n, _ in waiting])
-            tokens = [t for _, own in waiting for t in own]
-            lengths = np.array([len(t) for t in tokens], np.int64)
-            placed = assign(lengths, capacity)
+        def packed(last: bool) -> pa.RecordBatch:
+            nonlocal opened, held, names, tokens, placed_before
+            ids_of = pa.concat_arrays(names)
+            before, rest = np.array(placed_before, np.int64), np.array([len(t) for t in tokens], np.int64)
+            placed, over = place(rest, capacity, last=last)
             doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*placed, strict=True))
             crc = [zlib.crc32(tokens[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in placed]
-            waiting.clear()
-            held = 0
             sequence += opened
             opened = int(sequence.max()) + 1
-            return pa.RecordBatch.from_arrays([names.take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, lengths[doc], sequence, offset))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            whole = before + rest
+            out = pa.RecordBatch.from_arrays([ids_of.take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (before[doc] + start, length, crc, whole[doc], sequence, offset))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            over.sort()
+            names = [ids_of.take(pa.array([d for d, _ in over], pa.int64()))]
+            placed_before = [int(before[d]) + s for d, s in over]
+            tokens = [tokens[d][s:] for d, s in over]
+            held = sum(map(len, tokens))
+            return out
 
         for batch in batches:
             data, at = columns(batch.column(1))
             for i, j in chunks(at):
                 flat, cut = ids.of(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                own = [np.append(flat[a:b], np.uint16(end_id)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                waiting.append((batch.column(0).slice(i, j - i), own))
-                held += sum(map(len, own))
+                names.append(batch.column(0).slice(i, j - i))
+                tokens += [np.append(flat[a:b], np.uint16(end_id)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                placed_before += [0] * (j - i)
+                held += int(cut[-1]) + j - i
                 if held >= POOL:
-                    yield packed()
-        if waiting:
-            yield packed()
+                    yield packed(False)
+        if tokens:
+            yield packed(True)
 
     kind = dict(rows.dtypes)["__id"]
     return rows.mapInArrow(pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

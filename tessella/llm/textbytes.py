@@ -14,7 +14,7 @@ CHUNK = 2 << 20
 SLICE = 1 << 20
 U = np.uint64
 _M1, _M2, _G = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
-_BASE, _STEP = U(0x5851F42D4C957F2D), U(0xD1342543DE82EF95)
+_STEP = U(0xD1342543DE82EF95)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -37,15 +37,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257).astype(U) * _G)
-_POW = np.cumprod(np.full(256, _BASE, U))
+#: What is left of a lane of eight bytes of which only the first 0 to 8 belong to a run.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+_PLACE = mix(np.arange(1, 257).astype(U) * _G)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    if n > len(_POW):
-        _POW = np.cumprod(np.full(1 << (n - 1).bit_length(), _BASE, U))
-    return _POW
+def _places(n: int) -> np.ndarray:
+    global _PLACE
+    if n > len(_PLACE):
+        _PLACE = mix(np.arange(1, 1 + (1 << (n - 1).bit_length())).astype(U) * _G)
+    return _PLACE
+
+
+def _lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut into lanes of eight bytes, zeros behind the end: each lane's value and place in its run, and each run's first lane."""
+    lens = ends - starts
+    count = (lens + 7) >> 3
+    first = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(first, count)
+    padded = np.concatenate((data[starts[0] : ends[-1]], np.zeros(8, np.uint8)))
+    every = np.ndarray(len(padded) - 7, np.dtype("<u8"), padded, 0, (1,))
+    value = every[np.repeat(starts - starts[0], count) + 8 * place]
+    value &= _MASK[np.minimum(np.repeat(lens, count) - 8 * place, 8)]
+    return value, place, first
+
+
+def _slices(lens: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of runs of about SLICE bytes in all, one run at least."""
+    total = np.concatenate(([0], np.cumsum(lens)))
+    i = 0
+    while i < len(lens):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + SLICE, "right")) - 1)
+        yield i, j
+        i = j
 
 
 def columns(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,23 +108,34 @@ def words(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each run; runs are in order and don't overlap."""
+    """A 64-bit hash of the bytes of each run; runs are in order and don't overlap.
+
+    Each lane is mixed with its place before lanes add up, so no pattern of bytes cancels out as in a polynomial.
+    """
     out = np.empty(len(starts), U)
     lens = ends - starts
-    total = np.concatenate(([0], np.cumsum(lens)))
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(total, total[i] + SLICE, "right")) - 1)
-        own = lens[i:j]
-        first = total[i:j] - total[i]
-        within = np.arange(total[j] - total[i]) - np.repeat(first, own)
-        value = _BYTE[data[within + np.repeat(starts[i:j], own)]]
-        value *= _powers(int(own.max()))[within]
-        out[i:j] = np.add.reduceat(value, first)
-        i = j
+    for i, j in _slices(lens):
+        value, place, first = _lanes(data, starts[i:j], ends[i:j])
+        value ^= _places(int(place.max()) + 1)[place]
+        out[i:j] = np.add.reduceat(mix(value), first)
     return mix(out + lens.astype(U) * _G)
 
 
+def same_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each run has the very bytes of the run whose number ``other`` gives."""
+    lens = ends - starts
+    same = lens == lens[other]
+    if not len(starts):
+        return same
+    value, place, first = _lanes(data, starts, ends)
+    count = np.where(same, (lens + 7) >> 3, 0)
+    run = np.repeat(np.arange(len(starts)), count)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    differ = value[first[run] + at] != value[first[other[run]] + at]
+    same[run[differ]] = False
+    return same
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
     """Each document's distinct shingles of ``width`` words, sorted; the whole sequence is one where words are fewer."""
     n = len(hashes)
