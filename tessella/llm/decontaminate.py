@@ -4,7 +4,8 @@ Items fall into bands by their number of 5-word shingles. For each band, a docum
 band's largest item and searched in windows of two blocks, so that any run as long as the item lies within one window and
 window and item are of like size, however long the document. Both get a one-permutation MinHash: shingles fall into BINS
 bins by hash and each bin keeps its smallest one. A window is a candidate for every item with which it agrees on a bin;
-candidates are verified on the whole document's shingles, exactly.
+candidates are verified on the whole document's shingles, exactly. Only windows that hold some item's smallest shingle are
+measured, WINDOWS at a time, so that memory depends neither on a document's length nor on the size of the smallest item.
 
 Documents never shuffle. Items go to the tasks in blocks of bounded size, one scan of the documents for each block.
 """
@@ -19,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
 from .textbytes import ALNUM, LOWER, U, chunks, columns, hash_runs, mix, words
 
 BINS, GROWTH = 64, 1.5
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
+#: Windows that are measured at once, and shingles in them (one window at least).
+WINDOWS, SHINGLES = 4096, 1 << 17
 _NONE = U(2**64 - 1)
 _STEP = U(0xD1342543DE82EF95)
 
@@ -43,6 +47,46 @@ def _hashed(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hash_runs(own, starts, ends), first
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _candidates(value: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int, low: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int]]:
+    """``(document, item)`` of windows of two blocks of ``size`` shingles that agree with an item on a bin's minimum.
+
+    ``value, doc, place`` are all shingles in order, with their document and place there; ``low`` are the items' minima,
+    sorted, and ``item`` whose they are.
+    """
+    hits = np.flatnonzero(_among(value, np.unique(low)))
+    if not len(hits):
+        return
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] % size == 0)
+    block = np.cumsum(new) - 1
+    begin = np.append(np.flatnonzero(new), len(doc))
+    owner = doc[begin[:-1]]
+    own = block[hits]
+    before = own[(own > 0) & (owner[own] == owner[own - 1])] - 1
+    windows = np.unique(np.concatenate((own, before)))
+    after = np.minimum(windows + 1, len(owner) - 1)
+    first, end = begin[windows], begin[np.where(owner[after] == owner[windows], after, windows) + 1]
+    total = np.concatenate(([0], np.cumsum(end - first)))
+    i = 0
+    while i < len(windows):
+        j = min(i + WINDOWS, max(i + 1, int(np.searchsorted(total, total[i] + SHINGLES, "right")) - 1))
+        count = end[i:j] - first[i:j]
+        window = np.repeat(np.arange(j - i), count)
+        own = value[np.arange(total[j] - total[i]) - np.repeat(total[i:j] - total[i], count) + np.repeat(first[i:j], count)]
+        minima = np.full((j - i) * BINS, _NONE)
+        np.minimum.at(minima, window * BINS + (own % U(BINS)).astype(np.int64), own)
+        agree = np.flatnonzero(_among(minima, low) & (minima != _NONE))
+        left, right = np.searchsorted(low, minima[agree], "left"), np.searchsorted(low, minima[agree], "right")
+        for d, a, b in zip(owner[windows[i + agree // BINS]].tolist(), left.tolist(), right.tolist(), strict=True):
+            yield from ((d, k) for k in item[a:b].tolist())
+        i = j
+
+
 class Items:
     """A block of items, ready to be searched for: shingle sets and, by band, bins' minima."""
 
@@ -84,28 +128,15 @@ class Items:
             value, doc, place = held[wide]
             if not len(value):
                 continue
-            blocks = np.maximum(1, -(-np.bincount(doc, minlength=len(at) - 1) // size))
-            base = np.concatenate(([0], np.cumsum(blocks)))
-            block = base[doc] + place // size
-            minima = np.full(int(base[-1]) * BINS, _NONE)
-            np.minimum.at(minima, block * BINS + (value % U(BINS)).astype(np.int64), value)
-            minima = minima.reshape(-1, BINS)
-            owner = np.repeat(np.arange(len(blocks)), blocks)
-            two = minima.copy()
-            same = owner[1:] == owner[:-1]
-            two[:-1][same] = np.minimum(minima[:-1], minima[1:])[same]
-            left, right = np.searchsorted(low, two, "left"), np.searchsorted(low, two, "right")
-            w, b = np.nonzero((right > left) & (two != _NONE))
-            for x, y in zip(w.tolist(), b.tolist(), strict=True):
-                pairs.update((int(owner[x]), int(k)) for k in item[left[x, y] : right[x, y]])
+            pairs.update(_candidates(value, doc, place, size, low, item))
         whole: dict[tuple[int, int], np.ndarray] = {}
         for d, k in sorted(pairs):
             wide = self.wide[k]
             if (d, wide) not in whole:
                 value, doc, _ = held[wide]
                 a, b = np.searchsorted(doc, [d, d + 1])
-                whole[d, wide] = value[a:b]
-            shared = int(np.isin(self.sets[k], whole[d, wide]).sum())
+                whole[d, wide] = np.unique(value[a:b])
+            shared = int(_among(self.sets[k], whole[d, wide]).sum())
             if shared >= self.least * len(self.sets[k]):
                 yield d, k, shared / len(self.sets[k]), shared
 
@@ -135,6 +166,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, containment double, n_shared long, n_item long"
 
     def one(block: list[tuple]) -> DataFrame:
+        # Written, so that no block's items stay in memory behind the next one's.
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +182,9 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
                             ["doc_id", "item_id", "containment", "n_shared", "n_item"],
                         )
 
-        return rows.mapInArrow(search, schema)
+        found = stash(rows.mapInArrow(search, schema))
+        sent.destroy()
+        return found
 
     found = [one(block) for block in item_blocks(items, item_id, item_text)]
     return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
