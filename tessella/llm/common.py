@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's own limit of bytes in an Arrow batch, and ours.
+SPARK_BATCH, BATCH = "67108864b", "4m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -22,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH at most for this session's Python operators, unless it has a size of its own: long texts else fill memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == SPARK_BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: computed once, lineage cut, safe when executors go."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"

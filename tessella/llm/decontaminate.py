@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small_batches, stash
 from .textbytes import ALNUM, LOWER, U, chunks, columns, hash_runs, mix, words
 
 BINS, GROWTH = 64, 1.5
@@ -161,6 +161,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     ``width`` words is one shingle of that many words. Items without words, null or empty texts match nothing. Repeated
     rows of either table repeat their pairs; a null id is carried as it is. Other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kinds = dict(rows.dtypes)["__id"], dict(items.dtypes)[item_id]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, containment double, n_shared long, n_item long"
@@ -192,6 +193,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that hold less than ``least`` of every item; nothing shuffles."""
+    small_batches(docs.sparkSession)
     text_at = docs.columns.index(text_col)
     kept = docs
     for block in item_blocks(items, item_id, item_text):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, spread_join, stash
+from .common import broadcast_if_small, small_batches, spread_join, stash
 from .graph import bucket_components
 from .textbytes import U, mix, text_shingles
 
@@ -230,6 +230,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows without an id keep their ``n_shingles``, have no component and join no others. ``n_class`` counts the rows with
     this very set. Repeated rows are repeated in the result. Other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     signed = stash(rows.mapInArrow(_sign, f"__id {dict(rows.dtypes)['__id']}, n long, key long, sigs array<long>"))
     plain = signed.select("__id", "n", "key")

@@ -21,11 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textbytes import LOWER, chunks, columns, hash_runs, same_runs
 
 POOL = 1 << 21
 #: Runs of characters whose ids a task remembers, and their bytes in all.
-CACHE, CACHE_BYTES = 500_000, 32 << 20
+CACHE, CACHE_BYTES = 200_000, 16 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 #: Letters, digits and other marks of ASCII; 3 for the lead and tail of letters from U+00C0 to U+017F; 4 needs the tokenizer's own split.
@@ -174,6 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     empty texts are one token; an id beyond 65535 isn't supported. ``sequence_id`` is the task's number times 2^32 plus a
     count. Repeated rows are packed each; a null id is carried; other columns aren't read. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

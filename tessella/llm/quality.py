@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small_batches, stash
 from .textbytes import LOWER, NOT_SPACE, chunks, columns, hash_runs, words
 
 #: Byte classes: lower, upper, digit, space, line end, sentence mark, inner mark, other ASCII mark, non-ASCII lead, rest.
@@ -74,6 +74,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``__id, __x``: an array of statistics for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,4 +187,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 keep[i:j] = model.score(statistics(data[at[i] : at[j]], at[i : j + 1] - at[i])) >= least
             yield batch.filter(pa.array(keep))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(good, docs.schema)

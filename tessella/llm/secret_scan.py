@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The three base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -114,6 +116,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     no assign span covers it). ``max_cost`` is the largest guess cost of a value of kind assign or guess, 0 without one.
     Null and empty texts have no spans. Repeated rows are scanned each, a null id is carried, other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "max_cost"]
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, spread_join, stash
+from .common import broadcast_if_small, small_batches, spread_join, stash
 
 EMAIL = re.compile(r"[A-Za-z0-9À-ɏ._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)")
@@ -178,6 +178,7 @@ def distinct_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
             seen = sorted({(k, c) for t in batch.column(0) for _, _, k, c in entities(t.as_py() or "")})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string())], ["kind", "entity"])
 
+    small_batches(docs.sparkSession)
     return docs.select(text_col).mapInArrow(find, "kind string, entity string").distinct()
 
 
