@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower
 
 K = 3
+#: Runs of a template that a mask of 64 bits holds.
+MOST_RUNS = 64
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Opening passages of well-known license notices, lower-cased, and the labels of the method.
@@ -36,19 +38,21 @@ TEMPLATES = {
 def template_runs(spark: SparkSession) -> DataFrame:
     """``h, tid, pos``: the hash of each run of K words of phrases (ids below the number of phrases) and templates."""
     rows = [(i, text.split(" ")) for i, text in enumerate([*PHRASES, *TEMPLATES])]
+    if any(len(words) - K + 1 > MOST_RUNS for _, words in rows):
+        raise ValueError(f"a template has more than {MOST_RUNS} runs of {K} words, which one mask can't hold: cut it in two")
     runs = [(i, p, *words[p : p + K]) for i, words in rows for p in range(len(words) - K + 1)]
     table = spark.createDataFrame(runs, "tid int, pos int, w0 string, w1 string, w2 string")
-    return table.select(F.xxhash64("w0", "w1", "w2").alias("h"), "tid", "pos")
+    return table.select(F.xxhash64("w0", "w1", "w2").alias("h"), F.concat_ws(" ", "w0", "w1", "w2").alias("run"), "tid", "pos")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 4, least: float = 0.7) -> DataFrame:
-    """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``: one row per distinct id and text.
+    """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``: one row per row of ``docs``.
 
     Words are runs of ASCII letters and digits and of characters outside ASCII, A-Z lower-cased. ``n_base`` counts the
     places of phrases, ``first_word`` and ``last_word`` are their smallest and largest start (null without one).
     ``labels`` adds templates of which a span holds ``least`` or more; ``score`` is the largest share held, 1 for a phrase.
-    Null and empty texts have no words, empty labels and score 0. Rows that repeat id and text give one row; a null id is
-    a group of its own. Other columns aren't read. Matches of one text and template are ordered in one task, which the
+    Null and empty texts have no words, empty labels and score 0. Rows that repeat id and text are scanned together and
+    given as often as they occur; a null id is an id of its own. Other columns aren't read. Matches of one text and template are ordered in one task, which the
     text's length bounds.
     """
     spark = docs.sparkSession
@@ -66,17 +70,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: i
     most = F.greatest(n, F.lit(1))
     at = F.posexplode_outer(F.arrays_zip(F.col("__w").alias("w0"), F.slice("__w", 2, most).alias("w1"), F.slice("__w", 3, most).alias("w2"))).alias("p", "r")
     three = rows.select("__id", "__h", n.alias("n"), at)
-    hashed = three.select("__id", "__h", "n", "p", F.when(F.col("r.w2").isNotNull(), F.xxhash64("r.w0", "r.w1", "r.w2")).alias("h"))
-    met = hashed.join(F.broadcast(runs), "h", "left")
+    hashed = three.select("__id", "__h", "n", "p", F.when(F.col("r.w2").isNotNull(), F.xxhash64("r.w0", "r.w1", "r.w2")).alias("h"), F.concat_ws(" ", "r.w0", "r.w1", "r.w2").alias("words"))
+    # Hashes meet in the join; the words themselves decide.
+    met = hashed.join(F.broadcast(runs.withColumnRenamed("h", "__rh")), (F.col("h") == F.col("__rh")) & (F.col("words") == F.col("run")), "left")
     # One row a text where nothing matched, one a match elsewhere: summed up before the shuffle.
     votes = met.groupBy("__id", "__h", "tid", (F.col("p") - F.col("pos")).alias("d")).agg(
-        F.max("n").alias("n"), F.min(F.when(F.col("tid").isNotNull(), F.col("p"))).alias("lo"), F.max(F.when(F.col("tid").isNotNull(), F.col("p"))).alias("hi"), F.bit_or(F.expr("shiftleft(1L, pos)")).alias("held")
+        F.max("n").alias("n"), F.min(F.when(F.col("tid").isNotNull(), F.col("p"))).alias("lo"), F.max(F.when(F.col("tid").isNotNull(), F.col("p"))).alias("hi"), F.bit_or(F.expr("shiftleft(1L, pos)")).alias("held"),
+        F.count(F.lit(1)).alias("votes"), F.count_if(F.coalesce("p", F.lit(0)) == 0).alias("firsts"),
     )
+    # How often the row occurs: a run of words lies on a diagonal once, and a text without a match has one first place.
+    copies = F.when(F.col("tid").isNull(), F.col("firsts")).otherwise(F.expr("votes div bit_count(held)"))
     order = W.partitionBy("__id", "__h", "tid").orderBy("d")
     new = F.when(F.col("d") - F.lag("d").over(order) <= gap, 0).otherwise(1)
     phrase = F.col("tid") < len(PHRASES)
-    spans = votes.withColumn("new", F.when(phrase, 1).otherwise(new)).withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    spans = spans.groupBy("__id", "__h", "tid", "span").agg(F.max("n").alias("n"), F.min("d").alias("d"), F.min("lo").alias("lo"), F.bit_or("held").alias("held"))
+    spans = votes.withColumn("copies", copies).withColumn("new", F.when(phrase, 1).otherwise(new)).withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    spans = spans.groupBy("__id", "__h", "tid", "span").agg(F.max("n").alias("n"), F.min("d").alias("d"), F.min("lo").alias("lo"), F.bit_or("held").alias("held"), F.max("copies").alias("copies"))
     share = F.bit_count("held") / size
     base = phrase & (share == 1)
     found = (phrase & (share == 1)) | (~phrase & (share >= least))
@@ -89,5 +97,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: i
         joined(F.when(base, label)).alias("base_labels"),
         joined(F.when(found, label)).alias("labels"),
         F.coalesce(F.max(F.when(~phrase | base, share)), F.lit(0.0)).alias("score"),
+        F.max("copies").alias("copies"),
     )
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(F.col("__id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
