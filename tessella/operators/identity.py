@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.functions.ordering import number_sorted
+from tessella.sources.shared import shared_dir
+
 
 def duplicate_groups(df: DataFrame, content: Column, id_col: str) -> DataFrame:
     """Groups of two or more rows with the same content hash: ``sha, n, first_id, last_id``."""
@@ -16,10 +16,13 @@ def duplicate_groups(df: DataFrame, content: Column, id_col: str) -> DataFrame:
 
 
 def near_duplicate_groups(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Groups that agree on the text without case and white space and whose names all differ; confidence 0.8."""
+    """Groups that agree on the text without case and white space, of several texts and all names different; confidence 0.8.
+
+    Groups of one and the same text are exact duplicates and no near ones.
+    """
     key = F.sha2(F.regexp_replace(F.lower(text), r"\s+", " "), 256)
-    found = df.groupBy(key.alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(name).alias("names"), F.min(name).alias("first_name"))
-    return found.where("n > 1 and n = names").select("sha", "n", "first_name", F.lit(0.8).alias("confidence"))
+    found = df.groupBy(key.alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(name).alias("names"), F.min(name).alias("first_name"), F.min(F.sha2(text, 256)).alias("lo"), F.max(F.sha2(text, 256)).alias("hi"))
+    return found.where("n > 1 and n = names and lo <> hi").select("sha", "n", "first_name", F.lit(0.8).alias("confidence"))
 
 
 def assign_design_group(df: DataFrame, groups: DataFrame, content: Column, id_col: str) -> DataFrame:
@@ -29,30 +32,40 @@ def assign_design_group(df: DataFrame, groups: DataFrame, content: Column, id_co
     return own.join(named, "sha", "left").select(id_col, F.coalesce("g", F.concat(F.lit("grp_single_"), F.substring("sha", 1, 8))).alias("design_group"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """``node, root`` for ``edges(a, b)``: the smallest node that edges reach; each round is a checkpoint in the shared folder."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """``node, root`` for ``edges(a, b)``: the smallest node that edges reach; each round is a checkpoint in the shared folder.
+
+    Edges of a node to itself name it only. A hub's edges are joined by partitions that adaptive execution splits.
+    """
+    shared_dir(edges.sparkSession)
+    edges = edges.where("a is not null and b is not null").distinct().checkpoint()
+    alone = edges.where("a = b").select(F.col("a").alias("node"))
+    both = edges.where("a <> b")
+    both = both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")).checkpoint()
     for _ in range(rounds):
         near = both.join(labels, both.b == labels.node).groupBy(both.a.alias("node")).agg(F.min("root").alias("m"))
         new = labels.join(near, "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
-        jump = new.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
         new = new.join(jump, "root").select("node", F.least("root", "top").alias("root"), "was").checkpoint()
         labels = new.select("node", "root")
         if new.where("root <> was").isEmpty():
-            return labels
+            return labels.union(alone.join(labels, "node", "left_anti").distinct().select("node", F.col("node").alias("root")))
     raise RuntimeError("components do not settle")
 
 
 def split_units(scenes: DataFrame, keys: list[str], id_col: str = "scene_id") -> DataFrame:
-    """``id, unit_id``: scenes that share any key, directly or through others, are one unit (its smallest id)."""
-    links = reduce(DataFrame.union, [scenes.where(F.col(k).isNotNull()).select(F.col(id_col).alias("b"), F.min(id_col).over(W.partitionBy(k)).alias("a")) for k in keys])
-    roots = components(links.select("a", "b"))
+    """``id, unit_id``: scenes that share any key, directly or through others, are one unit (its smallest id).
+
+    Only scenes that share a key with another become links: each to the smallest scene of its key, found by an aggregation.
+    """
+    links = None
+    for k in keys:
+        own = scenes.where(F.col(k).isNotNull()).select(F.col(k).alias("__k"), F.col(id_col).alias("b"))
+        first = own.groupBy("__k").agg(F.min("b").alias("a"), F.max("b").alias("__z")).where("a <> __z").select("__k", "a")
+        one = own.join(first, "__k").where("a <> b").select("a", "b")
+        links = one if links is None else links.union(one)
+    roots = components(links)
     return scenes.select(F.col(id_col)).join(roots, F.col(id_col) == F.col("node"), "left").select(id_col, F.coalesce("root", id_col).alias("unit_id"))
 
 
@@ -75,15 +88,21 @@ def safe_ids(df: DataFrame, name: str, order: str, cap: int = 120) -> DataFrame:
 
 
 def dense_codes(df: DataFrame, code: str) -> DataFrame:
-    """``code, dense``: the used codes numbered from 0 in order. Codes are few beside rows, and distinct before the window."""
-    return df.select(code).distinct().select(code, (F.row_number().over(W.orderBy(code)) - 1).alias("dense"))
+    """``code, dense``: the used codes numbered from 0 in order."""
+    return number_sorted(df.select(code).distinct(), [code], "dense")
+
+
+def apply_codes(df: DataFrame, codes: DataFrame, code: str) -> DataFrame:
+    """``df`` with ``dense`` of its code; a code that the table doesn't have fails the query."""
+    both = df.join(codes, code, "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown code "), F.col(code).cast("string"))).cast("long")
+    return both.withColumn("dense", F.coalesce("dense", unknown))
 
 
 def unique_value_codes(palette: DataFrame, code: str, values: list[str]) -> DataFrame:
     """Codes with the same values share an id, numbered by each value's first code."""
     first = palette.groupBy(*values).agg(F.min(code).alias("first_code"))
-    ids = first.withColumn("unique_id", F.row_number().over(W.orderBy("first_code")) - 1)
-    return palette.join(ids, values).select(code, "first_code", "unique_id")
+    return palette.join(number_sorted(first, ["first_code"], "unique_id"), values).select(code, "first_code", "unique_id")
 
 
 def palette_usage(cells: DataFrame, palette: DataFrame, code: str = "code") -> DataFrame:

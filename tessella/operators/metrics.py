@@ -11,23 +11,53 @@ def confusion(df: DataFrame, target: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(target).alias("target"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_summary(df: DataFrame, target: str, pred: str) -> DataFrame:
-    """IoU, precision, recall and F1 of each class; denominators are at least 1."""
-    c = confusion(df, target, pred)
-    each = c.select(F.inline(F.array(F.struct(F.col("target").alias("class"), F.when(F.col("target") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p")), F.struct(F.col("pred").alias("class"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p")))))
-    s = each.groupBy("class").agg(F.sum("tp").alias("tp"), F.sum("t").alias("t"), F.sum("p").alias("p"))
-    over = lambda a, b: F.round(a / F.greatest(b, F.lit(1)), 6)
+def class_summary(df: DataFrame, target: str, pred: str, classes: int) -> DataFrame:
+    """IoU, precision, recall and F1 of each of ``classes``, absent ones included; denominators are at least 1.
+
+    Rows whose target isn't a class are left out; so are predictions that aren't, which ``confusion_summary`` counts.
+    """
+    within = lambda c: F.col(c).between(0, classes - 1)
+    c = confusion(df.where(within(target)), target, pred).where(within("pred"))
+    zero = F.lit(0).cast("long")
+    part = lambda k, tp, t, p: F.struct(F.col(k).cast("int").alias("class"), tp.alias("tp"), t.alias("t"), p.alias("p"))
+    n = F.col("n")
+    each = c.select(F.inline(F.array(part("target", F.when(F.col("target") == F.col("pred"), n).otherwise(zero), n, zero), part("pred", zero, zero, n))))
+    every = df.sparkSession.range(classes).select(F.col("id").cast("int").alias("class"), zero.alias("tp"), zero.alias("t"), zero.alias("p"))
+    s = each.union(every).groupBy("class").agg(F.sum("tp").alias("tp"), F.sum("t").alias("t"), F.sum("p").alias("p"))
+    over = lambda a, b: a / F.greatest(b, F.lit(1))
     tp, t, p = F.col("tp"), F.col("t"), F.col("p")
-    return s.select("class", over(tp, t + p - tp).alias("iou"), over(tp, p).alias("precision"), over(tp, t).alias("recall"), over(2 * tp, t + p).alias("f1"))
+    precision, recall = over(tp, p), over(tp, t)
+    f1 = 2 * precision * recall / F.greatest(precision + recall, F.lit(1e-8))
+    return s.select("class", *[F.round(x, 6).alias(name) for x, name in ((over(tp, t + p - tp), "iou"), (precision, "precision"), (recall, "recall"), (f1, "f1"))])
+
+
+def confusion_summary(df: DataFrame, target: str, pred: str, classes: int) -> DataFrame:
+    """One row: mean IoU and F1 over all classes, cell accuracy, cells counted, and cells dropped as their prediction is no class."""
+    means = class_summary(df, target, pred, classes).agg(F.round(F.avg("iou"), 6).alias("miou"), F.round(F.avg("f1"), 6).alias("f1"))
+    live = df.where(F.col(target).between(0, classes - 1))
+    known = F.col(pred).between(0, classes - 1)
+    counts = live.agg(F.count_if(known).alias("n"), F.count_if(~known).alias("dropped"), F.count_if(F.col(target) == F.col(pred)).alias("right"))
+    both = means.crossJoin(F.broadcast(counts))  # one row each
+    return both.select("miou", "f1", F.round(F.col("right") / F.greatest("n", F.lit(1)), 6).alias("accuracy"), "n", "dropped")
 
 
 def image_miou(df: DataFrame, image: str, target: str, pred: str, classes: int) -> DataFrame:
-    """Per image: mean IoU of classes in the target (presence) and of classes in target or prediction (false positives count)."""
-    each = df.select(image, F.explode(F.array(*[F.lit(c) for c in range(classes)])).alias("class"), target, pred)
-    t, p = F.col(target) == F.col("class"), F.col(pred) == F.col("class")
-    s = each.groupBy(image, "class").agg(F.count_if(t & p).alias("i"), F.count_if(t | p).alias("u"), F.count_if(t).alias("t"))
-    iou = F.col("i") / F.col("u")
-    return s.groupBy(image).agg(F.round(F.avg(F.when(F.col("t") > 0, iou)), 6).alias("miou_present"), F.round(F.avg(F.when(F.col("u") > 0, iou)), 6).alias("miou_fp"))
+    """Per image: mean IoU of classes in the target (presence) and of classes in target or prediction (false positives count); 0 without one.
+
+    Cells are counted per image, target and prediction first.
+    """
+    n = df.groupBy(image, F.col(target).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    t, p = F.col("t"), F.col("p")
+    s = n.groupBy(image).agg(*[f(c) for c in range(classes) for f in (lambda c: of((t == c) & (p == c)).alias(f"i{c}"), lambda c: of((t == c) | (p == c)).alias(f"u{c}"), lambda c: of(t == c).alias(f"t{c}"))])
+    iou = [F.col(f"i{c}") / F.col(f"u{c}") for c in range(classes)]
+
+    def mean(kind):
+        total = sum((F.when(F.col(f"{kind}{c}") > 0, iou[c]).otherwise(0.0) for c in range(classes)), F.lit(0.0))
+        held = sum(((F.col(f"{kind}{c}") > 0).cast("int") for c in range(classes)), F.lit(0))
+        return F.round(total / F.greatest(held, F.lit(1)), 6)
+
+    return s.select(image, mean("t").alias("miou_present"), mean("u").alias("miou_fp"))
 
 
 def depth_metrics(df: DataFrame, pred: Column, target: Column) -> DataFrame:
@@ -64,8 +94,15 @@ def boundary(cells: DataFrame, image: str, code: str) -> DataFrame:
 
 
 def summarize_counts(df: DataFrame, col: str) -> DataFrame:
+    """Count, least, largest, mean and percentiles of a column, in one pass."""
     q = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    return df.agg(F.count(col).alias("n"), F.min(col).alias("low"), F.max(col).alias("high"), F.round(F.avg(col), 6).alias("mean"), *[F.round(F.percentile(col, F.lit(p)), 6).alias(f"p{int(p * 100)}") for p in q])
+    s = df.agg(F.count(col).alias("n"), F.min(col).alias("low"), F.max(col).alias("high"), F.round(F.avg(col), 6).alias("mean"), F.percentile(col, F.array(*[F.lit(p) for p in q])).alias("q"))
+    return s.select("n", "low", "high", "mean", *[F.round(F.col("q")[i], 6).alias(f"p{int(p * 100)}") for i, p in enumerate(q)])
+
+
+def histogram(df: DataFrame, col: str) -> DataFrame:
+    """``value, n`` of a column."""
+    return df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def average_over_tries(df: DataFrame, keys: list[str], value: str) -> DataFrame:

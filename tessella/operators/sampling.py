@@ -7,24 +7,52 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.hashing import hash_order
+from tessella.functions.ordering import number_by_hash
+
+
+def split_sizes(n: int, ratios: tuple[float, float, float]) -> tuple[int, int, int]:
+    """Groups for train, val and test: the first two are rounded half to even and test is the rest.
+
+    With three groups or more and no ratio of 0, each split has one at least, taken from the larger of the other two.
+    """
+    if abs(sum(ratios) - 1) > 1e-6 or min(ratios) < 0:
+        raise ValueError("ratios must be 0 or more and sum to 1")
+    train, val = round(n * ratios[0]), round(n * ratios[1])
+    over = max(0, train + val - n)
+    val, train = max(0, val - over), train - max(0, over - val)
+    sizes = [train, val, n - train - val]
+    if n >= 3 and min(ratios) > 0:
+        for k, (a, b) in enumerate(((2, 1), (0, 2), (0, 1))):
+            if sizes[k] == 0:
+                sizes[k] = 1
+                sizes[a if sizes[a] > sizes[b] else b] -= 1
+    return tuple(sizes)
 
 
 def assign_splits(df: DataFrame, group: str, ratios: tuple[float, float, float], seed: int) -> DataFrame:
-    """``group, split``: whole groups to train, val and test by rounded ratios; each split gets one if there are three."""
+    """``group, split``: whole groups to train, val and test, in hash order, as many as ``split_sizes`` says."""
     groups = df.select(group).distinct()
-    order = W.orderBy(hash_order(seed, group), group)
-    ranked = groups.select(group, F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(W.partitionBy(F.lit(1))).alias("n"))
-    val = F.when(F.col("n") >= 3, F.greatest(F.lit(1), F.bround(F.col("n") * ratios[1], 0))).otherwise(F.bround(F.col("n") * ratios[1], 0))
-    test = F.when(F.col("n") >= 3, F.greatest(F.lit(1), F.bround(F.col("n") * ratios[2], 0))).otherwise(F.bround(F.col("n") * ratios[2], 0))
-    return ranked.select(group, F.when(F.col("rank") <= val, "val").when(F.col("rank") <= val + test, "test").otherwise("train").alias("split"))
+    train, val, _ = split_sizes(groups.count(), ratios)
+    placed = number_by_hash(groups, seed, group, "__p")
+    return placed.select(group, F.when(F.col("__p") < train, "train").when(F.col("__p") < train + val, "val").otherwise("test").alias("split"))
 
 
 def stratified_holdout(df: DataFrame, label: str, id_col: str, share: float, seed: int) -> DataFrame:
-    """``id, label, split``: of each class of n > 1, max(1, floor(share * n)) rows are held out."""
-    rank = F.row_number().over(W.partitionBy(label).orderBy(hash_order(seed, id_col), id_col))
-    n = F.count(F.lit(1)).over(W.partitionBy(label))
+    """``id, label, split``: of each class of n > 1, max(1, floor(share * n)) rows are held out, the first by hash.
+
+    A class of any size is counted by the hash's first digits; only rows are ordered whose digits the cut falls on.
+    """
+    own = df.select(id_col, label, hash_order(seed, id_col).alias("__h")).withColumn("__b", F.substring("__h", 1, 3))
+    sizes = own.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    order = W.partitionBy(label).orderBy("__b")
+    before = F.coalesce(F.sum("__c").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    n = F.sum("__c").over(W.partitionBy(label))
     take = F.when(n > 1, F.greatest(F.lit(1), F.floor(n * share))).otherwise(0)
-    return df.select(id_col, label, F.when(rank <= take, "val").otherwise("train").alias("split"))
+    cut = sizes.select(F.col(label).alias("__l"), "__b", (take - before).alias("__left"))
+    rank = F.row_number().over(W.partitionBy(label, "__b").orderBy("__h", id_col))
+    own = own.withColumn("__r", rank).withColumnRenamed("__b", "__d")
+    both = own.join(cut, own[label].eqNullSafe(F.col("__l")) & (F.col("__d") == F.col("__b")))
+    return both.select(id_col, label, F.when(F.col("__r") <= F.col("__left"), "val").otherwise("train").alias("split"))
 
 
 def few_shot(df: DataFrame, label: str, id_col: str, k: int, tries: int) -> DataFrame:
@@ -43,8 +71,8 @@ def round_robin_sample(df: DataFrame, family: str, id_col: str, cap: int, seed:
 
 def epoch_plan(df: DataFrame, id_col: str, seed: int, epoch: int, world: int) -> DataFrame:
     """``id, position, rank``: an epoch's order and the worker of each position."""
-    position = F.row_number().over(W.orderBy(hash_order(f"{seed}:{epoch}", id_col), id_col)) - 1
-    return df.select(id_col, position.alias("position")).withColumn("rank", F.pmod("position", F.lit(world)))
+    placed = number_by_hash(df.select(id_col), f"{seed}:{epoch}", id_col, "position")
+    return placed.withColumn("rank", F.pmod("position", F.lit(world)))
 
 
 def pick_one(df: DataFrame, key: str, child: str, seed: int) -> DataFrame:
@@ -75,5 +103,10 @@ def grouped_batches(df: DataFrame, source: str, id_col: str, size: int, most: in
     """``id, source, batch``: waves of at most ``most`` rows a source, cut into batches."""
     rank = F.row_number().over(W.partitionBy(source).orderBy(hash_order(seed, id_col), id_col)) - 1
     waves = df.select(id_col, source, F.floor(rank / most).alias("wave"))
-    row = F.row_number().over(W.orderBy("wave", hash_order(seed, id_col), id_col)) - 1
-    return waves.select(id_col, source, F.floor(row / size).alias("batch"))
+    placed = number_by_hash(waves, seed, id_col, "__p", first="wave", digits=1)
+    return placed.select(id_col, source, F.floor(F.col("__p") / size).alias("batch"))
+
+
+def batches_over(batches: DataFrame, source: str, most: int) -> DataFrame:
+    """``batch, source, n``: batches with more than ``most`` rows of one source."""
+    return batches.groupBy("batch", source).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)

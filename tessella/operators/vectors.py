@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.sources.shared import fresh_path
+
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -21,40 +24,62 @@ def l2_normalize(df: DataFrame, col: str, eps: float = 1e-12) -> DataFrame:
     return df.withColumn("__n", norm).withColumn(col, F.transform(col, lambda x: x.cast("double") / F.col("__n"))).drop("__n")
 
 
+SLICE = 1024
+
+
+def _best(rank: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of several tables of scores, ids and labels, one row a query; ties by id."""
+    s, i, c = (np.concatenate([r[x] for r in rank], axis=1) for x in range(3))
+    top = np.lexsort((i, -s), axis=1)[:, :k]
+    return tuple(np.take_along_axis(x, top, 1) for x in (s, i, c))
+
+
 def knn(test: DataFrame, train: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """``test_id, train_id, label, score, rank``: the k nearest by inner product, scores rounded to six places, ties by id.
 
-    ``test(id, v)`` goes to the tasks in blocks of bounded size; each task keeps its k best per test row, and a window over
-    those picks the k of all.
+    ``test(id, v)`` goes to the tasks in blocks of bounded size; each task keeps its k best per test row over all its train
+    rows, read in slices, and a window over those picks the k of all. A block's result is written before the next block is
+    read, so one block at a time is in memory.
     """
+    spark = train.sparkSession
+    schema = "test_id long, train_id long, label int, score double"
 
-    def one(rows: list) -> DataFrame:
+    def one(rows: list) -> tuple[DataFrame, object]:
         ids = np.array([r[0] for r in rows])
-        sent = train.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64)))
+        sent = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64)))
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, m = sent.value
+            held: list = []
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                names, labels = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
-                order = np.argsort(names, kind="stable")
-                names, labels, v = names[order], labels[order], v[order]
-                s = np.round(m @ v.T, 6)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, top.shape[1])), pa.array(names[top].reshape(-1)), pa.array(labels[top].reshape(-1)), pa.array(np.take_along_axis(s, top, 1).reshape(-1))], ["test_id", "train_id", "label", "score"])
-
-        return train.select("id", "v", "label").mapInArrow(near, "test_id long, train_id long, label int, score double")
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    names, labels = part.column(0).to_numpy(), part.column(2).to_numpy()
+                    v = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1).astype(np.float64)
+                    order = np.argsort(names, kind="stable")
+                    names, labels = names[order], labels[order]
+                    s = np.round(m @ v[order].T, 6)
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    held.append((np.take_along_axis(s, top, 1), names[top], labels[top]))
+                    if len(held) > 16:
+                        held = [_best(held, k)]
+            if held:
+                s, i, c = _best(held, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, s.shape[1])), pa.array(i.reshape(-1)), pa.array(c.reshape(-1)), pa.array(s.reshape(-1))], ["test_id", "train_id", "label", "score"])
+
+        return train.select("id", "v", "label").mapInArrow(near, schema), sent
 
     parts, rows = [], []
     for r in test.select("id", "v").toLocalIterator():
-        rows.append(r)
         if len(rows) == block:
-            parts.append(one(rows))
+            part, sent = one(rows)
+            path = fresh_path(spark)
+            part.write.parquet(path)
+            sent.destroy()
+            parts.append(spark.read.schema(schema).parquet(path))
             rows = []
-    if rows or not parts:
-        parts.append(one(rows) if rows else train.sparkSession.createDataFrame([], "test_id long, train_id long, label int, score double"))
+        rows.append(r)
+    parts.append(one(rows)[0] if rows else spark.createDataFrame([], schema))
     rank = F.row_number().over(W.partitionBy("test_id").orderBy(F.desc("score"), "train_id"))
     return reduce(DataFrame.union, parts).withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -68,7 +93,129 @@ def knn_vote(nearest: DataFrame, ks: list[int], temperature: float) -> DataFrame
     return each.groupBy("test_id", "k", "label").agg(F.round(F.sum("w"), 6).alias("vote"))
 
 
+MOST_ANCHORS = 10_000
+
+
 def similarity_map(features: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``anchor_id, id, cosine`` of unit vectors to each of few anchors, which are broadcast."""
+    """``anchor_id, id, cosine`` of unit vectors to each of few anchors, which are broadcast; more than MOST_ANCHORS is an error."""
     a = anchors.select(F.col("id").alias("anchor_id"), F.col("v").alias("av"))
-    return features.crossJoin(F.broadcast(a)).select("anchor_id", "id", F.round(dot("v", "av"), 6).alias("cosine"))
+    if len(a.limit(MOST_ANCHORS + 1).select("anchor_id").collect()) > MOST_ANCHORS:
+        raise ValueError(f"more than {MOST_ANCHORS} anchors: call with some at a time")
+    held = a.groupBy().agg(F.collect_list(F.struct("anchor_id", "av")).alias("__a"))
+    each = features.join(F.broadcast(held)).select("id", "v", F.inline("__a"))
+    return each.select("anchor_id", "id", F.round(dot("v", "av"), 6).alias("cosine"))
+
+
+def probe_input(df: DataFrame, blocks: list[str], patches: str | None = None) -> DataFrame:
+    """``probe``: the class tokens of the given blocks behind each other, then the mean of the patch tokens (an array of arrays) if named."""
+    parts = [F.transform(b, lambda x: x.cast("double")) for b in blocks]
+    if patches:
+        n = F.size(patches)
+        size = F.size(F.get(F.col(patches), F.lit(0)))
+        zero = F.array_repeat(F.lit(0.0), size)
+        total = F.aggregate(patches, zero, lambda s, p: F.zip_with(s, p, lambda a, b: a + b.cast("double")))
+        parts.append(F.transform(total, lambda x: x / n))
+    return df.withColumn("probe", F.concat(*parts))
+
+
+def topn_nms(sims: DataFrame, key: str, n: int, radius: int, row: str = "y", col: str = "x", score: str = "score", exclude: tuple[str, str] | None = None) -> DataFrame:
+    """``key, place, row, col, score``: the best cells of a map, each at more than ``radius`` rows or columns from those before it; ties by row, then column.
+
+    ``exclude`` names columns of a cell around which none is taken. A key's map is folded in one row.
+    """
+    far = lambda r1, c1, r2, c2: (F.abs(r1 - r2) > radius) | (F.abs(c1 - c2) > radius)
+    live = sims.where(far(F.col(row), F.col(col), F.col(exclude[0]), F.col(exclude[1]))) if exclude else sims
+    cell = F.struct((-F.col(score)).alias("s"), F.col(row).cast("int").alias("r"), F.col(col).cast("int").alias("c"))
+    maps = live.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("m"))
+    none = F.filter("m", lambda x: F.lit(False))
+    picked = F.aggregate("m", none, lambda got, x: F.when((F.size(got) < n) & F.forall(got, lambda g: far(g["r"], g["c"], x["r"], x["c"])), F.concat(got, F.array(x))).otherwise(got))
+    each = maps.select(key, F.posexplode(picked).alias("p", "x"))
+    return each.select(key, (F.col("p") + 1).alias("place"), F.col("x.r").alias("row"), F.col("x.c").alias("col"), (-F.col("x.s")).alias("score"))
+
+
+def koleo(nearest: DataFrame, topk: int = 1, eps: float = 1e-8) -> DataFrame:
+    """``spread``: minus the mean log of the distances to the ``topk`` nearest others, of ``knn`` of unit vectors among themselves."""
+    others = nearest.where("test_id <> train_id")
+    place = F.row_number().over(W.partitionBy("test_id").orderBy("rank"))
+    d = F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0)))
+    return others.withColumn("place", place).where(F.col("place") <= topk).agg(F.round(-F.avg(F.ln(d + eps)), 6).alias("spread"))
+
+
+def gram_mse(patches: DataFrame, key: str, place: str, a: str, b: str, negatives: str = "keep") -> DataFrame:
+    """``key, mse`` between the similarity matrices of two sets of unit vectors of each key.
+
+    ``negatives``: ``keep`` them, set all to 0 (``drop``), or the second set's, and the first's where both are (``drop_second``).
+    A key's vectors meet each other: its pairs are the size of the answer.
+    """
+    if negatives not in ("keep", "drop", "drop_second"):
+        raise ValueError(f"unknown mode: {negatives}")
+    rows = patches.select(key, F.col(place).alias("__i"), F.col(a).alias("__a"), F.col(b).alias("__b"))
+    other = rows.select(key, F.col("__i").alias("__j"), F.col("__a").alias("__c"), F.col("__b").alias("__d"))
+    both = rows.join(other, key)
+    x, y = dot("__a", "__c"), dot("__b", "__d")
+    both = both.select(key, x.alias("x"), y.alias("y"))
+    p, q = F.col("x"), F.col("y")
+    if negatives == "drop":
+        p, q = F.greatest(p, F.lit(0.0)), F.greatest(q, F.lit(0.0))
+    elif negatives == "drop_second":
+        p, q = F.when((p < 0) & (q <= 0), 0.0).otherwise(p), F.greatest(q, F.lit(0.0))
+    return both.groupBy(key).agg(F.round(F.avg((p - q) * (p - q)), 6).alias("mse"))
+
+
+def sinkhorn(rows: DataFrame, id_col: str, scores: str, temperature: float, rounds: int = 3, where: str | None = None) -> DataFrame:
+    """``id, shares``: soft assignment of rows to as many prototypes as a row has scores, each prototype of like total weight.
+
+    ``where`` is a condition: other rows take no part. Each round adds the prototypes' weights up over all rows (as many
+    numbers as prototypes pass the driver) and divides rows by them.
+    """
+    live = rows.where(where) if where else rows
+    q = live.select(id_col, F.transform(scores, lambda s: F.exp(s.cast("double") / temperature)).alias("q")).checkpoint()
+    first = q.select(F.size("q")).first()
+    if first is None:
+        return q.withColumnRenamed("q", "shares")
+    k = first[0]
+    for _ in range(rounds):
+        sums = q.agg(*[F.sum(F.get("q", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
+        weights = F.array(*[F.lit(float(v)) for v in sums])
+        scaled = F.zip_with("q", weights, lambda x, w: x / w / k)
+        q = q.select(id_col, scaled.alias("q"))
+        total = F.aggregate("q", F.lit(0.0), lambda s, v: s + v)
+        q = q.withColumn("__t", total).select(id_col, F.transform("q", lambda x: x / F.col("__t")).alias("q"))
+    return q.withColumnRenamed("q", "shares")
+
+
+def clip_loss(pairs: DataFrame, batch: str, place: str, a: str, b: str, scale: float) -> DataFrame:
+    """``batch, loss``: of each batch of pairs, the mean of both directions' log-sum-exp of scaled products, less the pair's own.
+
+    A batch's rows meet each other: batches are of bounded size.
+    """
+    rows = pairs.select(batch, F.col(place).alias("__i"), F.col(a).alias("__a"))
+    other = pairs.select(batch, F.col(place).alias("__j"), F.col(b).alias("__b"))
+    each = rows.join(other, batch).select(batch, "__i", "__j", (scale * dot("__a", "__b")).alias("z"))
+    # Scaled products of unit vectors are at most ``scale``: taking it off keeps exponentials in range.
+    e = F.exp(F.col("z") - scale)
+    image = each.groupBy(batch, "__i").agg((F.ln(F.sum(e)) + scale).alias("lse"))
+    text = each.groupBy(batch, "__j").agg((F.ln(F.sum(e)) + scale).alias("lse"))
+    own = each.where("__i = __j").groupBy(batch).agg(F.sum("z").alias("own"), F.count(F.lit(1)).alias("n"))
+    sums = image.select(batch, "lse").union(text.select(batch, "lse")).groupBy(batch).agg(F.sum("lse").alias("lse"))
+    return own.join(sums, batch).select(batch, F.round((F.col("lse") - 2 * F.col("own")) / F.col("n") / 2, 6).alias("loss"))
+
+
+def align_results(rows: DataFrame, index: str, order: str, columns: list[str]) -> DataFrame:
+    """One row an index, that of the largest ``order``: later results take the place of earlier ones."""
+    return rows.groupBy(index).agg(F.max_by(F.struct(*columns), order).alias("__r")).select(index, *[F.col(f"__r.{c}").alias(c) for c in columns])
+
+
+def soft_bins(rows: DataFrame, id_col: str, logits: str, low: float, high: float, bins: int) -> DataFrame:
+    """``id, value``: the mean of bin centres between ``low`` and ``high / 8``, weighted by the positive part of the logits, times 8.
+
+    Centres go from logarithmic to linear steps; each weight has 1e-8 added.
+    """
+    top = high / 8
+    share = [1 - i / (bins - 1) for i in range(bins)]
+    centres = [t * exp(log(low) + (log(top) - log(low)) * i / (bins - 1)) + (1 - t) * (low + (top - low) * i / (bins - 1)) for i, t in enumerate(share)]
+    y = F.transform(logits, lambda v: F.greatest(v.cast("double"), F.lit(0.0)) + 1e-8)
+    own = rows.select(id_col, y.alias("__y"))
+    total = F.aggregate("__y", F.lit(0.0), lambda s, v: s + v)
+    mean = F.aggregate(F.zip_with("__y", F.array(*[F.lit(max(c, 1e-12)) for c in centres]), lambda w, c: w * c), F.lit(0.0), lambda s, v: s + v) / F.greatest(total, F.lit(1e-12))
+    return own.select(id_col, F.round(8 * F.greatest(mean, F.lit(1e-12)), 6).alias("value"))

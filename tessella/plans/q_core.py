@@ -19,9 +19,12 @@ def _(s, d):
     return identity.duplicate_groups(table(s, d, "documents"), F.col("text"), "doc_id")
 
 
-@query("c2_near_duplicate_groups", r"""SELECT sha256(regexp_replace(lower(text), '\s+', ' ', 'g')) AS sha, count(*) AS n, min(source) AS first_name, 0.8::DOUBLE AS confidence FROM documents GROUP BY 1 HAVING count(*) > 1 AND count(*) = count(DISTINCT source)""")
+@query("c2_near_duplicate_groups", r"""WITH t AS (SELECT text, source FROM documents UNION ALL SELECT upper(text) || ' ', source || '_b' FROM documents WHERE doc_id % 9 = 0 AND lang = 'en')
+ SELECT sha256(regexp_replace(lower(text), '\s+', ' ', 'g')) AS sha, count(*) AS n, min(source) AS first_name, 0.8::DOUBLE AS confidence FROM (SELECT trim(text) AS text, source, text AS raw FROM t) GROUP BY 1 HAVING count(*) > 1 AND count(*) = count(DISTINCT source) AND count(DISTINCT text) > 1""")
 def _(s, d):
-    return identity.near_duplicate_groups(table(s, d, "documents"), "text", "source")
+    docs = table(s, d, "documents")
+    more = docs.where("doc_id % 9 = 0 and lang = 'en'").select(F.concat(F.upper("text"), F.lit(" ")).alias("text"), F.concat("source", F.lit("_b")).alias("source"))
+    return identity.near_duplicate_groups(docs.select("text", "source").union(more).withColumn("text", F.trim("text")), "text", "source")
 
 
 @query("c3_design_group", "SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY sha) > 1 THEN 'grp_' ELSE 'grp_single_' END || substr(sha, 1, 8) AS design_group FROM (SELECT doc_id, sha256(text) AS sha FROM documents)")
@@ -30,13 +33,14 @@ def _(s, d):
     return identity.assign_design_group(docs, identity.duplicate_groups(docs, F.col("text"), "doc_id"), F.col("text"), "doc_id")
 
 
-@query("c4_split_units", f"""WITH RECURSIVE {v.SCENES}, links AS (
- SELECT min(scene_id) OVER (PARTITION BY source_sha256) AS a, scene_id AS b FROM scenes UNION SELECT min(scene_id) OVER (PARTITION BY family_id), scene_id FROM scenes),
+@query("c4_split_units", f"""WITH RECURSIVE {v.SCENES}, linked AS (SELECT scene_id, CASE WHEN scene_id % 60 < 2 THEN 'g' || (scene_id // 60 * 60) ELSE group_id END AS group_id, family_id, design_id, source_sha256 FROM scenes), links AS (
+ SELECT min(scene_id) OVER (PARTITION BY source_sha256) AS a, scene_id AS b FROM linked UNION SELECT min(scene_id) OVER (PARTITION BY family_id), scene_id FROM linked UNION SELECT min(scene_id) OVER (PARTITION BY group_id), scene_id FROM linked UNION SELECT min(scene_id) OVER (PARTITION BY design_id), scene_id FROM linked),
  both_ways AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
- reach AS (SELECT scene_id, scene_id AS other FROM scenes UNION SELECT r.scene_id, e.b FROM reach r JOIN both_ways e ON r.other = e.a)
+ reach AS (SELECT scene_id, scene_id AS other FROM linked UNION SELECT r.scene_id, e.b FROM reach r JOIN both_ways e ON r.other = e.a)
  SELECT scene_id, min(other) AS unit_id FROM reach GROUP BY scene_id""")
 def _(s, d):
-    return identity.split_units(v.scenes(s, d), ["source_sha256", "family_id", "design_id"])
+    group = F.when(F.col("scene_id") % 60 < 2, F.concat(F.lit("g"), F.expr("scene_id div 60 * 60").cast("string"))).otherwise(F.col("group_id"))
+    return identity.split_units(v.scenes(s, d).withColumn("group_id", group), ["group_id", "source_sha256", "family_id", "design_id"])
 
 
 @query("c5_group_id", r"SELECT p_partkey, coalesce(nullif(regexp_extract(p_name, '^([a-z]+)', 1), ''), p_name) AS group_id FROM part")
@@ -172,9 +176,9 @@ def _(s, d):
     return audits.preflight_cardinality(table(s, d, "lineitem"), "l_orderkey", (2, 4, 6))
 
 
-@query("d1_assign_splits", """SELECT source, CASE WHEN r <= v THEN 'val' WHEN r <= v + t THEN 'test' ELSE 'train' END AS split FROM (SELECT source, row_number() OVER (ORDER BY sha256('11:' || source), source) AS r, greatest(1, round_even(count(*) OVER () * 0.1, 0)) AS v, greatest(1, round_even(count(*) OVER () * 0.15, 0)) AS t FROM (SELECT DISTINCT source FROM documents))""")
+@query("d1_assign_splits", """SELECT source, CASE WHEN r <= tr THEN 'train' WHEN r <= tr + va THEN 'val' ELSE 'test' END AS split FROM (SELECT source, row_number() OVER (ORDER BY sha256('11:' || source), source) AS r, round_even(count(*) OVER () * 0.725, 0) AS tr, round_even(count(*) OVER () * 0.125, 0) AS va FROM (SELECT DISTINCT source FROM documents))""")
 def _(s, d):
-    return sampling.assign_splits(table(s, d, "documents"), "source", (0.75, 0.1, 0.15), 11)
+    return sampling.assign_splits(table(s, d, "documents"), "source", (0.725, 0.125, 0.15), 11)
 
 
 @query("d5_stratified_holdout", "SELECT vec_id, label, CASE WHEN r <= CASE WHEN n > 1 THEN greatest(1, floor(n * 0.2)) ELSE 0 END THEN 'val' ELSE 'train' END AS split FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('5:' || vec_id), vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings)")
@@ -202,6 +206,11 @@ def _(s, d):
     return sampling.grouped_batches(table(s, d, "documents"), "source", "doc_id", 32, 4, 4)
 
 
+@query("d14_batches_over", """WITH w AS (SELECT doc_id, source, floor((row_number() OVER (PARTITION BY source ORDER BY sha256('4:' || doc_id), doc_id) - 1) / 4) AS wave FROM documents), b AS (SELECT source, CAST(floor((row_number() OVER (ORDER BY wave, sha256('4:' || doc_id), doc_id) - 1) / 32) AS BIGINT) AS batch FROM w) SELECT batch, source, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) > 2""")
+def _(s, d):
+    return sampling.batches_over(sampling.grouped_batches(table(s, d, "documents"), "source", "doc_id", 32, 4, 4), "source", 2)
+
+
 @query("d16_pick_one", "SELECT conv_id, arg_min(turn, sha256('6:' || conv_id || ':' || turn)) AS picked FROM conversations GROUP BY 1")
 def _(s, d):
     return sampling.pick_one(table(s, d, "conversations"), "conv_id", "turn", 6)
@@ -257,12 +266,12 @@ def _(s, d):
     return metrics.boundary(v.cells(s, d), "image_id", "target")
 
 
-@query("f10_affinity_targets", f"""WITH {v.CELLS} SELECT a.image_id, a.y, a.x, o.k, coalesce(CAST(a.target = r.target AS INT), -1) AS right_same, coalesce(CAST(a.target = b.target AS INT), -1) AS down_same FROM cells a CROSS JOIN (VALUES (1), (2), (4)) o(k)
+@query("f10_affinity_targets", f"""WITH {v.CELLS} SELECT a.image_id, a.y, a.x, o.k, coalesce(CAST(a.target = r.target AS INT), -1) AS right_same, coalesce(CAST(a.target = b.target AS INT), -1) AS down_same FROM cells a CROSS JOIN (VALUES (1), (2), (4), (8)) o(k)
  LEFT JOIN cells r ON r.image_id = a.image_id AND r.y = a.y AND r.x = a.x + o.k LEFT JOIN cells b ON b.image_id = a.image_id AND b.x = a.x AND b.y = a.y + o.k""")
 def _(s, d):
     row, col = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
     same = lambda k, w: F.coalesce((F.lead("target", k).over(w) == F.col("target")).cast("int"), F.lit(-1))
-    each = v.cells(s, d).select("image_id", "y", "x", F.array(*[F.struct(F.lit(k).alias("k"), same(k, row).alias("right_same"), same(k, col).alias("down_same")) for k in (1, 2, 4)]).alias("a"))
+    each = v.cells(s, d).select("image_id", "y", "x", F.array(*[F.struct(F.lit(k).alias("k"), same(k, row).alias("right_same"), same(k, col).alias("down_same")) for k in (1, 2, 4, 8)]).alias("a"))
     return each.select("image_id", "y", "x", F.inline("a"))
 
 
@@ -307,10 +316,31 @@ def _(s, d):
     return vectors.similarity_map(e, e.where("id < 4"))
 
 
-@query("h12_class_summary", f"""WITH {v.CELLS}, c AS (SELECT k AS class, count(*) FILTER (target = k AND pred = k) AS tp, count(*) FILTER (target = k) AS t, count(*) FILTER (pred = k) AS p FROM cells CROSS JOIN (SELECT unnest(range(4))::INT AS k) GROUP BY 1)
- SELECT class, round(tp / greatest(t + p - tp, 1), 6) AS iou, round(tp / greatest(p, 1), 6) AS precision, round(tp / greatest(t, 1), 6) AS recall, round(2 * tp / greatest(t + p, 1), 6) AS f1 FROM c WHERE t + p > 0""")
+CLASSED = f"{v.CELLS}, zc AS (SELECT target, CASE WHEN image_id % 10 = 0 AND pred = 3 THEN 9 ELSE pred END AS pred FROM cells), c AS (SELECT k AS class, count(*) FILTER (target = k AND pred = k) AS tp, count(*) FILTER (target = k AND pred < 5) AS t, count(*) FILTER (pred = k) AS p FROM zc CROSS JOIN (SELECT unnest(range(5))::INT AS k) GROUP BY 1), cs AS (SELECT class, tp / greatest(t + p - tp, 1) AS iou, tp / greatest(p, 1) AS precision, tp / greatest(t, 1) AS recall FROM c)"
+
+
+def _classed(s, d):
+    return v.cells(s, d).withColumn("pred", F.when((F.col("image_id") % 10 == 0) & (F.col("pred") == 3), 9).otherwise(F.col("pred")))
+
+
+@query("h12_class_summary", f"WITH {CLASSED} SELECT class, round(iou, 6) AS iou, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / greatest(precision + recall, 1e-8), 6) AS f1 FROM cs")
+def _(s, d):
+    return metrics.class_summary(_classed(s, d), "target", "pred", 5)
+
+
+@query("h12_confusion_summary", f"WITH {CLASSED} SELECT round(avg(iou), 6) AS miou, round(avg(2 * precision * recall / greatest(precision + recall, 1e-8)), 6) AS f1, (SELECT round(avg(CAST(target = pred AS INT)), 6) FROM zc WHERE pred < 5) AS accuracy, (SELECT count(*) FROM zc WHERE pred < 5) AS n, (SELECT count(*) FROM zc WHERE pred >= 5) AS dropped FROM cs")
+def _(s, d):
+    return metrics.confusion_summary(_classed(s, d), "target", "pred", 5)
+
+
+@query("h12_confusion", f"WITH {v.CELLS} SELECT target, pred, count(*) AS n FROM cells GROUP BY 1, 2")
+def _(s, d):
+    return metrics.confusion(v.cells(s, d), "target", "pred")
+
+
+@query("h27_histogram", "SELECT n AS value, count(*) AS n FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) GROUP BY 1")
 def _(s, d):
-    return metrics.class_summary(v.cells(s, d), "target", "pred")
+    return metrics.histogram(table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")), "n")
 
 
 @query("h14_image_miou", f"""WITH {v.CELLS}, c AS (SELECT image_id, k, count(*) FILTER (target = k AND pred = k) AS i, count(*) FILTER (target = k OR pred = k) AS u, count(*) FILTER (target = k) AS t FROM cells CROSS JOIN (SELECT unnest(range(4))::INT AS k) GROUP BY 1, 2)
@@ -380,7 +410,7 @@ def _(s, d):
 def _(s, d):
     p = table(s, d, "pages").select(F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1).alias("class_id"), F.col("page_id").alias("actual_index"))
     ids = identity.dense_codes(p, "class_id").withColumnRenamed("dense", "class_index")
-    return p.join(F.broadcast(ids), "class_id").select("class_index", "class_id", "actual_index")
+    return p.join(ids, "class_id").select("class_index", "class_id", "actual_index")
 
 
 @query("a8_csv_fields", "SELECT d.doc_id, coalesce(CAST(q.quality AS VARCHAR), '') AS quality, coalesce(CAST(q.toxic AS VARCHAR), '') AS toxic, '' AS reviewer FROM documents d LEFT JOIN labels q ON q.doc_id = d.doc_id")

@@ -1 +1 @@
-
+"""Live metric series as Structured Streaming."""
