@@ -9,6 +9,7 @@ but one of them to their next attempt, until none is left. Only those few except
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
 from bisect import bisect_right
@@ -22,6 +23,7 @@ from .common import broadcast_if_small, small_batches, spread_join, stash
 
 EMAIL = re.compile(r"[A-Za-z0-9À-ɏ._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)")
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.])")
 CARD = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)")
 PHONE = re.compile(r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\d.]*\d)")
 #: Titles that announce a person, and the gender they tell.
@@ -99,6 +101,11 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         for _ in range(attempt + 1):
             value = permuted(key, value, 2**32, kind)
         return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ip6":
+        value = int(ipaddress.IPv6Address(entity))
+        for _ in range(attempt + 1):
+            value = permuted(key, value, 2**128, kind)
+        return ipaddress.IPv6Address(value).compressed
     n = _number(key, tweak, entity)
     if kind == "email":
         local, _, host = entity.partition("@")
@@ -125,6 +132,14 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             start = m.start() + len(m[0]) - len(m[0].lstrip(".%+-"))
             if start < m.end() and text[start] != "@":
                 add(start, m.end(), "email", text[start : m.end()].lower())
+    if "::" in text or text.count(":") >= 7:
+        for m in IP6.finditer(text):
+            # Two groups at least: a lone pair of colons is no one's address.
+            if sum(map(bool, m[0].split(":"))) >= 2:
+                try:
+                    add(m.start(), m.end(), "ip6", ipaddress.IPv6Address(m[0]).compressed)
+                except ipaddress.AddressValueError:
+                    continue
     if re.search(r"\d", text):
         for m in IP.finditer(text):
             add(m.start(), m.end(), "ip", ".".join(str(int(p)) for p in m[0].split(".")))
@@ -195,7 +210,8 @@ def _with_surrogates(known: DataFrame, key: bytes) -> DataFrame:
 def exceptions(known: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
     """``kind, entity, attempt`` of entities whose first surrogate another one has or that is an entity itself."""
     now = stash(_with_surrogates(known.withColumn("attempt", F.lit(0)), key))
-    group = F.regexp_replace("kind", "^(card|number)$", "digits")
+    # Kinds that look alike share their surrogates' names: a number must not turn into a telephone's digits, nor a family into a given name.
+    group = F.when(F.col("kind").isin("card", "number", "phone"), "digits").when(F.col("kind").startswith("given_") | (F.col("kind") == "family"), "name").otherwise(F.col("kind"))
     real = stash(known.select(group.alias("g"), F.col("entity").alias("new")).distinct())
     for _ in range(rounds):
         own = now.withColumn("g", group)
@@ -213,7 +229,7 @@ def exceptions(known: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_entities, spans, text``: one row per row of ``docs``; text has every entity replaced.
 
-    Spans are ``kind:start:end`` of the original text, in code points. Kinds: email, ip, card (right check digit), number,
+    Spans are ``kind:start:end`` of the original text, in code points. Kinds: email, ip, ip6, card (right check digit), number,
     phone, given_f/m/n and family (names behind a title, and the same names elsewhere in the text, capitalised or in capitals;
     a given name has one gender in a text, the titles' one or n). Texts without entities stay as they are, null stays null and empty
     stays empty. Whoever holds ``key`` can undo numbers; keep it secret. Repeated rows are treated each, a null id is
