@@ -2,7 +2,7 @@
 
 Pass one sets two bits a row in a counting Bloom filter and keeps the bits that two rows or more set. Pass two probes each
 row against those bits. A row with a bit that no other row set has no copy and passes straight through; only the others
-(the copies, and about one single row in 250) shuffle and are grouped by the whole digest.
+(the copies, and about one single row in 72) shuffle and are grouped by the whole digest.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, broadcast_if_small, spread_join, stash
 
 BITS_PER_ROW = 16
+#: Words of 64 bits, with their numbers 16 bytes each, up to which the filter is broadcast.
+FILTER_WORDS = 1_000_000
 
 
 def _slots(size: int) -> list[Column]:
@@ -35,14 +37,15 @@ def flag_repeated(digests: DataFrame, bits_per_row: int = BITS_PER_ROW) -> DataF
     """Pass two: ``digests`` (a written table with ``__sha``) and ``__again``, false only where no other row has that digest.
 
     The filter is broadcast if it has at most a million words (16 MB); beyond, rows meet its words by a shuffle of their
-    digests alone.
+    digests alone, and those of a word that many rows look at (a text with many copies) are dealt over partitions by id.
     """
     words, size = repeated_bits(digests, digests.count(), bits_per_row)
-    words = broadcast_if_small(stash(words))
+    words = stash(words)
     out = digests.withColumn("__again", F.lit(True))
     for i, slot in enumerate(_slots(size)):
         one = words.select(F.col("word").alias(f"__w{i}"), F.col("bits").alias(f"__b{i}"))
-        out = out.withColumn("__slot", slot).withColumn(f"__w{i}", F.expr("__slot div 64")).join(one, f"__w{i}", "left")
+        out = out.withColumn("__slot", slot).withColumn(f"__w{i}", F.expr("__slot div 64"))
+        out = spread_join(out, one, f"__w{i}", F.col("__id"), "left", small=FILTER_WORDS)
         out = out.withColumn("__again", F.col("__again") & F.coalesce(F.expr(f"(__b{i} & shiftleft(1L, cast(__slot % 64 as int))) <> 0"), F.lit(False)))
         out = out.drop("__slot", f"__w{i}", f"__b{i}")
     return out
