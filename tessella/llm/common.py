@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors share; a temporary one only in local mode."""
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         found = spark.sparkContext.getCheckpointDir()
@@ -31,10 +34,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH)
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: computed once, lineage cut, safe when executors go."""
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``stash`` writes inside once the block ends; what is built on them has to be written by then."""
+    held = _SCRATCH.set([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.get():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _SCRATCH.reset(held)
+
+
+def stash(df: DataFrame, dictionary: bool = True) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: computed once, lineage cut, safe when executors go.
+
+    ``dictionary=False`` saves the work of looking for repeated values in tables of hashes and texts.
+    """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if _SCRATCH.get() is not None:
+        _SCRATCH.get().append(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
