@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, surrogates, url_filter
@@ -32,6 +31,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # here, so that the other queries don't need it
+
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
