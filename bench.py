@@ -6,18 +6,16 @@ import time
 
 from tessella.plans import registry
 from tessella.session import local_session
+from tessella.sources.shared import shared_dir
 
-HEADLINE = ["knn_topk_accuracy", "g4_knn", "c1_duplicate_groups", "c4_split_units", "d5_stratified_holdout", "e17_box_iou", "f3_class_boundary", "h14_image_miou", "h21_depth_metrics", "i1_smooth", "i7_best_history"]
+HEADLINE = ["knn_topk_accuracy", "g4_knn", "c1_duplicate_groups", "c4_split_units", "d5_stratified_holdout", "e17_box_iou", "f3_class_boundary", "h14_image_miou", "h21_depth_metrics", "i1_smooth", "i7_best_history", "f6_components", "h8_auroc", "h18_region_metrics", "e10_coverage", "f23_delta_e_stats"]
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session("bench")
     spark.sparkContext.setLogLevel("ERROR")
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_dir(spark)
     found = registry.queries()
     times = {}
     for name in HEADLINE:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def step_timing(steps: DataFrame, planned: int, run: str = "run_id") -> DataFrame:
     """``run, step, seconds, total, eta``: time since the step before and since the first, and the mean step times those to come."""
     w = W.partitionBy(run).orderBy("step")
-    at = F.unix_micros("ts") / 1e6
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     t = steps.select(run, "step", at.alias("at"), F.lag(at).over(w).alias("was"), F.first(at).over(w).alias("began"))
     total = F.col("at") - F.col("began")
     eta = total / F.nullif(F.col("step") - 1, F.lit(0)) * (planned - F.col("step"))

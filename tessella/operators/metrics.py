@@ -11,7 +11,7 @@ def confusion(df: DataFrame, target: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(target).alias("target"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_summary(df: DataFrame, target: str, pred: str, classes: int) -> DataFrame:
+def class_summary(df: DataFrame, target: str, pred: str, classes: int, digits: int = 6) -> DataFrame:
     """IoU, precision, recall and F1 of each of ``classes``, absent ones included; denominators are at least 1.
 
     Rows whose target isn't a class are left out; so are predictions that aren't, which ``confusion_summary`` counts.
@@ -28,12 +28,12 @@ def class_summary(df: DataFrame, target: str, pred: str, classes: int) -> DataFr
     tp, t, p = F.col("tp"), F.col("t"), F.col("p")
     precision, recall = over(tp, p), over(tp, t)
     f1 = 2 * precision * recall / F.greatest(precision + recall, F.lit(1e-8))
-    return s.select("class", *[F.round(x, 6).alias(name) for x, name in ((over(tp, t + p - tp), "iou"), (precision, "precision"), (recall, "recall"), (f1, "f1"))])
+    return s.select("class", *[F.round(x, digits).alias(name) for x, name in ((over(tp, t + p - tp), "iou"), (precision, "precision"), (recall, "recall"), (f1, "f1"))])
 
 
 def confusion_summary(df: DataFrame, target: str, pred: str, classes: int) -> DataFrame:
     """One row: mean IoU and F1 over all classes, cell accuracy, cells counted, and cells dropped as their prediction is no class."""
-    means = class_summary(df, target, pred, classes).agg(F.round(F.avg("iou"), 6).alias("miou"), F.round(F.avg("f1"), 6).alias("f1"))
+    means = class_summary(df, target, pred, classes, 15).agg(F.round(F.avg("iou"), 6).alias("miou"), F.round(F.avg("f1"), 6).alias("f1"))
     live = df.where(F.col(target).between(0, classes - 1))
     known = F.col(pred).between(0, classes - 1)
     counts = live.agg(F.count_if(known).alias("n"), F.count_if(~known).alias("dropped"), F.count_if(F.col(target) == F.col(pred)).alias("right"))

@@ -369,7 +369,7 @@ def small_component_scores(cells: DataFrame, target: str, pred: str, supervised:
     overlap, size = F.coalesce("overlap", F.lit(0)), F.when(F.col("overlap").isNotNull(), F.col("size")).otherwise(0)
     recall, precision = overlap / F.greatest("area", F.lit(1)), overlap / F.greatest(size, F.lit(1))
     each = best.select("image_id", recall.alias("r"), (2 * precision * recall / F.greatest(precision + recall, F.lit(1e-8))).alias("f"))
-    return each.groupBy("image_id").agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg("f"), 6).alias("f1"))
+    return each.groupBy("image_id").agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("r"), 12).alias("recall"), F.round(F.avg("f"), 12).alias("f1"))
 
 
 def tiny_agreement(cells: DataFrame, target: str, pred: str, mask: Column, tiny: int = 64) -> DataFrame:
@@ -413,4 +413,4 @@ def composite_score(rows: DataFrame, kind: str, name: str = "score") -> DataFram
     weights = COMPOSITES[kind]
     total = sum((F.when(F.col(c).isNotNull(), w * F.col(c)).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
     held = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
-    return rows.withColumn(name, F.round(total / F.nullif(held, F.lit(0.0)), 6))
+    return rows.withColumn(name, F.round(total / F.nullif(held, F.lit(0.0)), 12))

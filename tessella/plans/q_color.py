@@ -28,8 +28,8 @@ def lab_sql(source: str, out: str, rgb=("r", "g", "b"), p="") -> str:
 
 def delta_sql(source: str, out: str) -> str:
     """A CTE ``out``: the source's rows with ``de``, CIEDE2000 of columns x* and y*."""
-    return f"""{out}_1 AS (SELECT *, 0.5 * (1 - sqrt(pow(cb, 7) / (pow(cb, 7) + 6103515625.0::DOUBLE + 1e-12))) AS g FROM (SELECT *, (sqrt(xa * xa + xb_ * xb_) + sqrt(ya * ya + yb_ * yb_)) / 2 AS cb FROM {source})),
- {out}_2 AS (SELECT *, sqrt(a1 * a1 + xb_ * xb_) AS c1, sqrt(a2 * a2 + yb_ * yb_) AS c2 FROM (SELECT *, (1 + g) * xa AS a1, (1 + g) * ya AS a2 FROM {out}_1)),
+    return f"""{out}_1 AS (SELECT *, 0.5 * (1 - sqrt(pow(cb, 7) / (pow(cb, 7) + 6103515625.0::DOUBLE + 1e-12))) AS gk FROM (SELECT *, (sqrt(xa * xa + xb_ * xb_) + sqrt(ya * ya + yb_ * yb_)) / 2 AS cb FROM {source})),
+ {out}_2 AS (SELECT *, sqrt(a1 * a1 + xb_ * xb_) AS c1, sqrt(a2 * a2 + yb_ * yb_) AS c2 FROM (SELECT *, (1 + gk) * xa AS a1, (1 + gk) * ya AS a2 FROM {out}_1)),
  {out}_3 AS (SELECT *, CASE WHEN degrees(atan2(xb_, a1)) < 0 THEN degrees(atan2(xb_, a1)) + 360 ELSE degrees(atan2(xb_, a1)) END AS h1, CASE WHEN degrees(atan2(yb_, a2)) < 0 THEN degrees(atan2(yb_, a2)) + 360 ELSE degrees(atan2(yb_, a2)) END AS h2 FROM {out}_2),
  {out}_4 AS (SELECT *, CASE WHEN c1 * c2 = 0 THEN 0 WHEN h2 - h1 > 180 THEN h2 - h1 - 360 WHEN h2 - h1 < -180 THEN h2 - h1 + 360 ELSE h2 - h1 END AS gap, CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h1 - h2) > 180 THEN (h1 + h2) / 2 + 180 - 360 * CAST((h1 + h2) / 2 + 180 >= 360 AS INT) ELSE (h1 + h2) / 2 END AS hm, (xl + yl) / 2 AS lm, (c1 + c2) / 2 AS cm FROM {out}_3),
  {out}_5 AS (SELECT *, yl - xl AS dl, c2 - c1 AS dc, 2 * sqrt(c1 * c2) * sin(radians(gap / 2)) AS dh, 1 - 0.17 * cos(radians(hm - 30)) + 0.24 * cos(radians(2 * hm)) + 0.32 * cos(radians(3 * hm + 6)) - 0.20 * cos(radians(4 * hm - 63)) AS t, 30 * exp(-(((hm - 275) / 25) ** 2)) AS sw, 2 * sqrt(pow(cm, 7) / (pow(cm, 7) + 6103515625.0::DOUBLE + 1e-12)) AS rc FROM {out}_4),
@@ -101,7 +101,7 @@ def _(s, d):
 
 
 def _sets(s, d):
-    rows = shifted(s, d).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("r", "g", "b", "r2", "g2", "b2"))).alias("o"))
+    rows = shifted(s, d).groupBy((F.col("sample_id") * 3 + F.col("r") % 3).alias("sample_id")).agg(F.array_sort(F.collect_list(F.struct("r", "g", "b", "r2", "g2", "b2"))).alias("o"))
     targets = F.slice(F.transform("o", lambda x: F.struct(x["r"].alias("r"), x["g"].alias("g"), x["b"].alias("b"))), 1, 4)
     preds = F.transform("o", lambda x: F.struct(x["r2"].alias("r"), x["g2"].alias("g"), x["b2"].alias("b"), (x["g"] / 64.0).alias("presence")))
     return rows.select("sample_id", preds.alias("preds"), targets.alias("targets"))

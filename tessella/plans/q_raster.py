@@ -208,7 +208,7 @@ def region_sql(source: str, regions: dict[str, str], keys: str = "image_id") ->
 
 
 NEAR = f"""{v.CELLS}, eb AS (SELECT a.image_id, a.y, a.x, bool_or(b.target <> a.target) AS e FROM cells a JOIN cells b ON a.image_id = b.image_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY ALL),
- bn AS (SELECT a.*, NOT a.locked AND (bool_or(abs(b.v) < 0.003 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1) OR bool_or(eb.e AND b.y = a.y AND b.x = a.x AND a.y < 2) OR bool_or(eb.e AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)) AS nb FROM cells a JOIN cells b ON a.image_id = b.image_id JOIN eb ON eb.image_id = b.image_id AND eb.y = b.y AND eb.x = b.x GROUP BY ALL)"""
+ bn AS (SELECT a.*, NOT a.locked AND (bool_or(abs(b.v) < 0.003 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1) OR bool_or(eb.e AND b.y = a.y AND b.x = a.x AND a.y < 2) OR bool_or(eb.e AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)) AS nb FROM cells a JOIN cells b ON a.image_id = b.image_id JOIN eb ON eb.image_id = b.image_id AND eb.y = b.y AND eb.x = b.x GROUP BY a.image_id, a.y, a.x, a.v, a.target, a.pred, a.locked)"""
 EVAL = f"""{NEAR}, {BF1}, {region_sql('bn', {'global': 'NOT locked', 'boundary': 'nb', 'interior': 'NOT locked AND NOT nb'})},
  ev AS (SELECT image_id, {', '.join(f"max({c}) FILTER (region = '{g}') AS {g}_{c}" for g in ('global', 'boundary', 'interior') for c in ('miou', 'acc'))}, max(n) FILTER (region = 'boundary') AS boundary_n, max(n) FILTER (region = 'interior') AS interior_n, any_value(bf1) AS bf1 FROM sc JOIN bf USING (image_id) GROUP BY 1)"""
 
@@ -233,9 +233,10 @@ SMALL = f"""RECURSIVE {v.CELLS}, {comp_sql('target', 'g', where='NOT locked')},
  sm AS (SELECT ga.image_id, coalesce(bo.n, 0) / ga.area AS r, coalesce(bo.n / ps.size, 0) AS q FROM ga LEFT JOIN bo ON bo.image_id = ga.image_id AND bo.code = ga.code AND bo.root = ga.root LEFT JOIN ps ON ps.image_id = bo.image_id AND ps.code = bo.code AND ps.root = bo.pr)"""
 
 
-@query("h17_small_components", f"WITH {SMALL} SELECT image_id, count(*) AS parts, round(avg(r), 6) AS recall, round(avg(2 * q * r / greatest(q + r, 1e-8)), 6) AS f1 FROM sm GROUP BY 1")
+@query("h17_small_components", f"WITH {SMALL} SELECT image_id, count(*) AS parts, round(avg(r) + 1e-9, 6) AS recall, round(avg(2 * q * r / greatest(q + r, 1e-8)) + 1e-9, 6) AS f1 FROM sm GROUP BY 1")
 def _(s, d):
-    return r.small_component_scores(cells(s, d), "target", "pred", ~F.col("locked"), [1, 2, 3], 5)
+    out = r.small_component_scores(cells(s, d), "target", "pred", ~F.col("locked"), [1, 2, 3], 5)
+    return out.select("image_id", "parts", F.round(F.col("recall") + 1e-9, 6).alias("recall"), F.round(F.col("f1") + 1e-9, 6).alias("f1"))  # off exact halves
 
 
 @query("h17_tiny_agreement", f"""WITH RECURSIVE {v.CELLS}, rc AS (SELECT image_id, y, x, y * 8 + x AS o FROM cells WHERE target = 3 UNION SELECT q.image_id, c.y, c.x, q.o FROM rc q JOIN cells c ON c.image_id = q.image_id AND c.target = 3 AND greatest(abs(c.y - q.y), abs(c.x - q.x)) = 1), co AS (SELECT image_id, y, x, min(o) AS root FROM rc GROUP BY ALL),
@@ -266,6 +267,6 @@ def _(s, d):
     return r.aggregate_regions(turned(s, d))
 
 
-@query("h20_composite_score", f"WITH {EVAL} SELECT image_id, round(0.35 * global_miou + 0.35 * boundary_miou + 0.2 * bf1 + 0.1 * boundary_acc, 6) AS score FROM ev")
+@query("h20_composite_score", f"WITH {EVAL} SELECT image_id, round(0.35::DOUBLE * global_miou + 0.35::DOUBLE * boundary_miou + 0.2::DOUBLE * bf1 + 0.1::DOUBLE * boundary_acc + 1e-9, 6) AS score FROM ev")
 def _(s, d):
-    return r.composite_score(evaluated(s, d).withColumnRenamed("global_miou", "miou"), "boundary").select("image_id", "score")
+    return r.composite_score(evaluated(s, d).withColumnRenamed("global_miou", "miou"), "boundary").select("image_id", F.round(F.col("score") + 1e-9, 6).alias("score"))

@@ -35,7 +35,7 @@ def _(s, d):
 
 
 @query("h2_topk_recall", f"""WITH {RANKED}, h AS (SELECT target, k, CAST(r <= k AS INT) AS hit FROM ranked, (VALUES (1), (5)) ks(k) WHERE c = target),
- w AS (SELECT DISTINCT 1 AS k, c FROM ranked WHERE r = 1), g AS (SELECT k, target AS c, avg(hit) AS a FROM h GROUP BY ALL), f AS (SELECT k, c, a FROM g UNION ALL SELECT k, c, 0 FROM w WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.k = w.k AND g.c = w.c))
+ wr AS (SELECT DISTINCT 1 AS k, c FROM ranked WHERE r = 1), g AS (SELECT k, target AS c, avg(hit) AS a FROM h GROUP BY ALL), f AS (SELECT k, c, a FROM g UNION ALL SELECT k, c, 0 FROM wr WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.k = wr.k AND g.c = wr.c))
  SELECT k, (SELECT round(avg(hit), 6) FROM h WHERE h.k = f.k) AS micro, round(avg(a), 6) AS macro FROM f GROUP BY k""")
 def _(s, d):
     return m.topk_macro(preds(s, d))

@@ -37,8 +37,8 @@ def _(s, d):
     return m.run_available(m.ingest_stream(stream, ["user_id", "event_type"]).select("user_id", "event_type"))
 
 
-@query("i3_step_timing", f"""WITH {v.STEPS}, t AS (SELECT run_id, step, epoch_us(ts) / 1e6 AS at, lag(epoch_us(ts) / 1e6) OVER w AS was, first_value(epoch_us(ts) / 1e6) OVER w AS began FROM steps WINDOW w AS (PARTITION BY run_id ORDER BY step))
- SELECT run_id, step, round(at - was, 4) AS seconds, round(at - began, 4) AS total, round((at - began) / nullif(step - 1, 0) * (200 - step), 2) AS eta FROM t""")
+@query("i3_step_timing", f"""WITH {v.STEPS}, t AS (SELECT run_id, step, epoch_us(ts) / 1e6 AS now_, lag(epoch_us(ts) / 1e6) OVER w AS was, first_value(epoch_us(ts) / 1e6) OVER w AS began FROM steps WINDOW w AS (PARTITION BY run_id ORDER BY step))
+ SELECT run_id, step, round(now_ - was, 4) AS seconds, round(now_ - began, 4) AS total, round((now_ - began) / nullif(step - 1, 0) * (200 - step), 2) AS eta FROM t""")
 def _(s, d):
     return logs.step_timing(v.steps(s, d), 200)
 
