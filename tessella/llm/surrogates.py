@@ -134,8 +134,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 add(start, m.end(), "email", text[start : m.end()].lower())
     if "::" in text or text.count(":") >= 7:
         for m in IP6.finditer(text):
-            # Two groups at least: a lone pair of colons is no one's address.
-            if sum(map(bool, m[0].split(":"))) >= 2:
+            # Two groups and a digit at least: pairs of colons stand in programs too.
+            if sum(map(bool, m[0].split(":"))) >= 2 and re.search(r"\d", m[0]):
                 try:
                     add(m.start(), m.end(), "ip6", ipaddress.IPv6Address(m[0]).compressed)
                 except ipaddress.AddressValueError:
