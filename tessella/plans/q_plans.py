@@ -130,7 +130,7 @@ def _(s, d):
     return _mixed(s, d)
 
 
-@query("i10_ratio_monitor", f"WITH {MIX}, b AS (SELECT DISTINCT batch, source FROM mx), g AS (SELECT m.batch, n.source FROM (SELECT batch FROM b WHERE (batch + 1) % 10 = 0) m, (SELECT DISTINCT source FROM b) n) SELECT g.batch, g.source, round(count(b.batch) / (g.batch + 1), 6) AS share FROM g LEFT JOIN b ON b.source = g.source AND b.batch <= g.batch GROUP BY ALL")
+@query("i10_ratio_monitor", f"WITH {MIX}, b AS (SELECT DISTINCT batch, source FROM mx), g AS (SELECT m.batch, n.source FROM (SELECT batch FROM b WHERE (batch + 1) % 10 = 0) m, (SELECT DISTINCT source FROM b) n) SELECT g.batch, g.source, round(count(b.batch) / (g.batch + 1), 6) AS share FROM g LEFT JOIN b ON b.source = g.source AND b.batch <= g.batch GROUP BY g.batch, g.source")
 def _(s, d):
     return p.ratio_monitor(_mixed(s, d), 10)
 

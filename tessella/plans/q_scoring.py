@@ -16,7 +16,7 @@ PREDS = f"""{NN}, one AS (SELECT DISTINCT test_id, target FROM nn), preds AS (SE
  (SELECT list(coalesce(v.vote, 0) ORDER BY c.c) FROM (SELECT unnest(range({CLASSES}))::INT AS c) c LEFT JOIN votes v ON v.test_id = one.test_id AND v.k = 20 AND v.label = c.c) AS scores FROM one)"""
 LONG = f"""{PREDS}, long AS (SELECT test_id, target, targets, c::INT AS c, scores[c + 1] AS s, scores[target + 1] AS own, CAST(list_contains(targets, c::INT) AS INT) AS truth FROM preds, (SELECT unnest(range({CLASSES})) AS c))"""
 RANKED = f"""{LONG}, ranked AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY s DESC, c) AS r FROM long)"""
-CURVE = f"""{LONG}, at AS (SELECT c AS label, s AS score, sum(truth) AS pos, sum(1 - truth) AS neg FROM long GROUP BY 1, 2), curve AS (SELECT *, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER (PARTITION BY label) AS p, sum(neg) OVER (PARTITION BY label) AS n FROM at WINDOW d AS (PARTITION BY label ORDER BY score DESC))"""
+CURVE = f"""{LONG}, cv AS (SELECT c AS label, s AS score, sum(truth) AS pos, sum(1 - truth) AS neg FROM long GROUP BY 1, 2), curve AS (SELECT *, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER (PARTITION BY label) AS p, sum(neg) OVER (PARTITION BY label) AS n FROM cv WINDOW d AS (PARTITION BY label ORDER BY score DESC))"""
 
 
 def preds(s, d):
@@ -29,9 +29,9 @@ def preds(s, d):
 
 
 @query("h1_topk_accuracy", f"""WITH {RANKED}, h AS (SELECT target AS class, k, r <= k AS hit FROM ranked, (VALUES (1), (5)) ks(k) WHERE c = target)
- SELECT k, class, count(*) AS n, round(avg(CAST(hit AS INT)), 6) AS accuracy FROM h GROUP BY GROUPING SETS ((k, class), (k))""")
+ SELECT k, coalesce(class, -1) AS class, count(*) AS n, round(avg(CAST(hit AS INT)), 6) AS accuracy FROM h GROUP BY GROUPING SETS ((k, class), (k))""")
 def _(s, d):
-    return m.topk_accuracy(preds(s, d))
+    return m.topk_accuracy(preds(s, d)).fillna(-1, ["class"])
 
 
 @query("h2_topk_recall", f"""WITH {RANKED}, h AS (SELECT target, k, CAST(r <= k AS INT) AS hit FROM ranked, (VALUES (1), (5)) ks(k) WHERE c = target),
@@ -49,9 +49,9 @@ def _(s, d):
     return m.any_match(preds(s, d))
 
 
-@query("h4_any_match_by", f"WITH {ANY} SELECT k, g AS by, count(*) AS n, round(avg(hit), 6) AS accuracy FROM h GROUP BY GROUPING SETS ((k, g), (k))")
+@query("h4_any_match_by", f"WITH {ANY} SELECT k, coalesce(g, -1) AS by, count(*) AS n, round(avg(hit), 6) AS accuracy FROM h GROUP BY GROUPING SETS ((k, g), (k))")
 def _(s, d):
-    return m.any_match(preds(s, d).withColumn("g", F.col("test_id") % 3), by="g")
+    return m.any_match(preds(s, d).withColumn("g", F.col("test_id") % 3), by="g").fillna(-1, ["by"])
 
 
 @query("h5_macro_mrr", f"""WITH {LONG}, q AS (SELECT test_id, target, 1.0::DOUBLE / count(*) FILTER (s >= own) AS r FROM long GROUP BY ALL), g AS (SELECT target, sum(r) / (count(*) + 1e-6::DOUBLE) AS a FROM q GROUP BY 1) SELECT round(sum(a) / {CLASSES}, 6) AS mrr FROM g""")
