@@ -56,6 +56,23 @@ def orient_cells(cells: DataFrame, size: int) -> DataFrame:
     return at.withColumn("oy", ny).withColumn("ox", F.when(F.col("k") >= 4, m - nx).otherwise(nx))
 
 
+def orient_place(y: Column, x: Column, h: Column, w: Column, k: Column) -> tuple[Column, Column]:
+    """Where a cell of an image of ``h`` rows and ``w`` columns goes: k quarter turns, then a mirror from k = 4 on."""
+    turn = k % 4
+    oy = F.when(turn == 0, y).when(turn == 1, w - 1 - x).when(turn == 2, h - 1 - y).otherwise(x)
+    ox = F.when(turn == 0, x).when(turn == 1, y).when(turn == 2, w - 1 - x).otherwise(h - 1 - y)
+    return oy, F.when(k >= 4, F.when(turn % 2 == 1, h).otherwise(w) - 1 - ox).otherwise(ox)
+
+
+def restore_place(oy: Column, ox: Column, h: Column, w: Column, k: Column) -> tuple[Column, Column]:
+    """Where a cell of an oriented image comes from; ``h`` and ``w`` are those of the image before it was turned."""
+    turn = k % 4
+    ox = F.when(k >= 4, F.when(turn % 2 == 1, h).otherwise(w) - 1 - ox).otherwise(ox)
+    y = F.when(turn == 0, oy).when(turn == 1, ox).when(turn == 2, h - 1 - oy).otherwise(h - 1 - ox)
+    x = F.when(turn == 0, ox).when(turn == 1, w - 1 - oy).when(turn == 2, w - 1 - ox).otherwise(oy)
+    return y, x
+
+
 def region_flags(cells: DataFrame, size: int, band: int) -> DataFrame:
     """Border, corner and core cells of square rasters."""
     near = lambda c: (F.col(c) < band) | (F.col(c) >= size - band)
