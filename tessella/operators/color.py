@@ -7,6 +7,8 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.quantiles import count_rows, mean_value, percentile, ranked_values
+
 #: The rows of the matrices from linear RGB to cone responses, from those to OKLab, and from linear RGB to XYZ (D65).
 RGB_TO_CONES = ((0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.6806995451, 0.1073969566), (0.0883024619, 0.2817188376, 0.6299787005))
 CONES_TO_OKLAB = ((0.2104542553, 0.7936177850, -0.0040720468), (1.9779984951, -2.4285922050, 0.4505937099), (0.0259040371, 0.7827717662, -0.8086757660))
@@ -96,10 +98,9 @@ def delta_e(x: Column, y: Column) -> Column:
 
 def delta_e_stats(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Count, mean, percentiles 50, 90 and 95, and maximum of a column of differences."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    s = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("m"), q.alias("q"), F.max(value).alias("x"))
     r = lambda c, n: F.round(c, 4).alias(n)
-    return s.select(*keys, "n", r(F.col("m"), "mean"), *[r(F.col("q")[i], n) for i, n in enumerate(("p50", "p90", "p95"))], r(F.col("x"), "most"))
+    shares = (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))
+    return ranked_values(df, value, keys).groupBy(*keys).agg(count_rows().alias("n"), r(mean_value(), "mean"), *[r(percentile(q), n) for n, q in shares], r(F.max("value"), "most"))
 
 
 def color_visibility(targets: DataFrame, seen: DataFrame, key: str, limits: tuple[int, ...] = (1, 2, 5, 10)) -> DataFrame:
@@ -200,6 +201,7 @@ def palette_metrics(rows: DataFrame, matched: DataFrame, key: str, slots: int) -
     and counts 10 for each colour too many or too few.
     """
     cap = 10.0
+    matched = matched.checkpoint()
     per = matched.groupBy(key).agg(F.count(F.lit(1)).alias("m"), F.sum(F.least("de", F.lit(cap))).alias("s"), F.max("de").alias("x"))
     both = rows.join(per, key, "left")
     p, t = F.col("n_pred"), F.col("n_true")
@@ -211,10 +213,9 @@ def palette_metrics(rows: DataFrame, matched: DataFrame, key: str, slots: int) -
         r(share(p == t), "count_accuracy"), r(F.avg(gap), "count_mae"), r(share((p == t) & (F.col("x") <= 1)), "success"), r(F.avg(F.greatest(p - t, F.lit(0)) / slots), "false_positives"),
         r(F.sum(F.greatest(t - p, F.lit(0))) / F.greatest(F.sum(t), F.lit(1)), "false_negatives"), r(F.avg(error), "set_error"),
     )
-    q = F.percentile("de", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    two = matched.agg(r(F.avg("mae"), "mae"), r(F.avg("de"), "de_mean"), q.alias("q"), *[r(share(F.col("de") <= m), f"de_within_{m}") for m in (1, 2, 5)])
-    two = two.select("*", *[r(F.col("q")[i], f"de_{n}") for i, n in enumerate(("p50", "p90", "p95"))]).drop("q")
-    return one.crossJoin(F.broadcast(two))  # one row each
+    two = matched.agg(r(F.avg("mae"), "mae"), r(F.avg("de"), "de_mean"), *[r(share(F.col("de") <= m), f"de_within_{m}") for m in (1, 2, 5)])
+    three = ranked_values(matched, "de").agg(*[r(percentile(q), f"de_{n}") for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))])
+    return one.crossJoin(F.broadcast(two)).crossJoin(F.broadcast(three))  # one row each
 
 
 def patch_stats(cells: DataFrame, patch: int) -> DataFrame:

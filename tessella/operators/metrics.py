@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.functions.quantiles import count_rows, mean_value, percentile, ranked_values
+
 
 def confusion(df: DataFrame, target: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(target).alias("target"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
@@ -94,10 +96,9 @@ def boundary(cells: DataFrame, image: str, code: str) -> DataFrame:
 
 
 def summarize_counts(df: DataFrame, col: str) -> DataFrame:
-    """Count, least, largest, mean and percentiles of a column, in one pass."""
-    q = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    s = df.agg(F.count(col).alias("n"), F.min(col).alias("low"), F.max(col).alias("high"), F.round(F.avg(col), 6).alias("mean"), F.percentile(col, F.array(*[F.lit(p) for p in q])).alias("q"))
-    return s.select("n", "low", "high", "mean", *[F.round(F.col("q")[i], 6).alias(f"p{int(p * 100)}") for i, p in enumerate(q)])
+    """Count, least, largest, mean and exact percentiles of a column; values are counted first."""
+    shares = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    return ranked_values(df, col).agg(count_rows().alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(mean_value(), 6).alias("mean"), *[F.round(percentile(p), 6).alias(f"p{int(p * 100)}") for p in shares])
 
 
 def histogram(df: DataFrame, col: str) -> DataFrame:
