@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.sources.shared import fresh_path
-
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -24,7 +22,35 @@ def l2_normalize(df: DataFrame, col: str, eps: float = 1e-12) -> DataFrame:
     return df.withColumn("__n", norm).withColumn(col, F.transform(col, lambda x: x.cast("double") / F.col("__n"))).drop("__n")
 
 
-SLICE = 1024
+#: Rows of a block of test vectors, and of train vectors.
+TEST, TRAIN = 1024, 4096
+
+
+def _blocks(rows: DataFrame, size: int, prefix: str, lanes: int) -> DataFrame:
+    """``rows(id, v, label, by)`` packed in blocks of at most ``size``, each dealt to one of the lanes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held = TaskContext.get().partitionId(), 0, []
+
+        def block(count: int) -> pa.RecordBatch:
+            nonlocal number, held
+            table = pa.Table.from_batches(held)
+            own, held = table.slice(0, count).combine_chunks(), table.slice(count).to_batches()
+            v = own.column(1).chunk(0).flatten().to_numpy().astype("<f8")
+            ids, label, by = (own.column(c).to_numpy().astype(t).tobytes() for c, t in ((0, "<i8"), (2, "<i4"), (3, "<i4")))
+            number += 1
+            values = [pa.array([part << 32 | number], pa.int64()), pa.array([(part + number) % lanes], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids, v.tobytes(), label, by))]
+            return pa.RecordBatch.from_arrays(values, [prefix + n for n in ("block", "lane", "ids", "v", "label", "by")])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            while sum(b.num_rows for b in held) >= size:
+                yield block(size)
+        if left := sum(b.num_rows for b in held):
+            yield block(left)
+
+    return rows.mapInArrow(pack, f"{prefix}block long, {prefix}lane int, {prefix}ids binary, {prefix}v binary, {prefix}label binary, {prefix}by binary")
 
 
 def _best(rank: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,54 +60,79 @@ def _best(rank: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tupl
     return tuple(np.take_along_axis(x, top, 1) for x in (s, i, c))
 
 
-def knn(test: DataFrame, train: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def knn(test: DataFrame, train: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """``test_id, train_id, label, score, rank``: the k nearest by inner product, scores rounded to six places, ties by id.
 
-    ``test(id, v)`` goes to the tasks in blocks of bounded size; each task keeps its k best per test row over all its train
-    rows, read in slices, and a window over those picks the k of all. A block's result is written before the next block is
-    read, so one block at a time is in memory.
+    ``test(id, v)`` and ``train(id, v, label)``; with ``by``, a whole number of train rows, there are k for each of its
+    values, and the column comes first. Null labels are -1.
+
+    Both sides are packed in blocks of bounded size. Train blocks are dealt over as many lanes as there are shuffle
+    partitions, test blocks go to every lane: a task meets one pair of blocks after another, keeps the k best of the test
+    block at hand over its lane's train rows, and a window picks the k of all lanes. Nothing goes through the driver.
     """
     spark = train.sparkSession
-    schema = "test_id long, train_id long, label int, score double"
-
-    def one(rows: list) -> tuple[DataFrame, object]:
-        ids = np.array([r[0] for r in rows])
-        sent = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64)))
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, m = sent.value
-            held: list = []
-            for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(at, SLICE)
-                    names, labels = part.column(0).to_numpy(), part.column(2).to_numpy()
-                    v = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1).astype(np.float64)
-                    order = np.argsort(names, kind="stable")
-                    names, labels = names[order], labels[order]
-                    s = np.round(m @ v[order].T, 6)
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col(by).cast("int") if by else F.lit(0)
+    own = train.select(F.col("id").cast("long").alias("id"), "v", F.coalesce(F.col("label").cast("int"), F.lit(-1)).alias("label"), key.alias("by"))
+    asked = test.select(F.col("id").cast("long").alias("id"), "v", F.lit(0).alias("label"), F.lit(0).alias("by"))
+    right = _blocks(own, TRAIN, "r_", lanes).withColumnRenamed("r_lane", "lane")
+    left = _blocks(asked, TEST, "t_", lanes).drop("t_lane", "t_label", "t_by").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, m, held = None, None, None, {}
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for value, rank in held.items():
+                s, i, c = _best(rank, k)
+                n = s.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids) * n, value, np.int32)), pa.array(np.repeat(ids, n)), *(pa.array(x.reshape(-1)) for x in (i, c, s))], ["by", "test_id", "train_id", "label", "score"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["t_block"] != at:
+                    # Pairs of a test block come behind each other; were they mixed, more rows would go on and none be lost.
+                    yield from found()
+                    at, held, ids = r["t_block"], {}, np.frombuffer(r["t_ids"], "<i8")
+                    m = np.frombuffer(r["t_v"], "<f8").reshape(len(ids), -1)
+                names, labels, keys = np.frombuffer(r["r_ids"], "<i8"), np.frombuffer(r["r_label"], "<i4"), np.frombuffer(r["r_by"], "<i4")
+                v = np.frombuffer(r["r_v"], "<f8").reshape(len(names), -1)
+                for value in np.unique(keys).tolist():
+                    mine = np.flatnonzero(keys == value)
+                    mine = mine[np.argsort(names[mine], kind="stable")]
+                    s = np.round(m @ v[mine].T, 6)
                     top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    held.append((np.take_along_axis(s, top, 1), names[top], labels[top]))
-                    if len(held) > 16:
-                        held = [_best(held, k)]
-            if held:
-                s, i, c = _best(held, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, s.shape[1])), pa.array(i.reshape(-1)), pa.array(c.reshape(-1)), pa.array(s.reshape(-1))], ["test_id", "train_id", "label", "score"])
-
-        return train.select("id", "v", "label").mapInArrow(near, schema), sent
-
-    parts, rows = [], []
-    for r in test.select("id", "v").toLocalIterator():
-        if len(rows) == block:
-            part, sent = one(rows)
-            path = fresh_path(spark)
-            part.write.parquet(path)
-            sent.destroy()
-            parts.append(spark.read.schema(schema).parquet(path))
-            rows = []
-        rows.append(r)
-    parts.append(one(rows)[0] if rows else spark.createDataFrame([], schema))
-    rank = F.row_number().over(W.partitionBy("test_id").orderBy(F.desc("score"), "train_id"))
-    return reduce(DataFrame.union, parts).withColumn("rank", rank).where(F.col("rank") <= k)
+                    rank = held.setdefault(value, [])
+                    rank.append((np.take_along_axis(s, top, 1), names[mine][top], labels[mine][top]))
+                    if len(rank) > 16:
+                        held[value] = [_best(rank, k)]
+        yield from found()
+
+    each = left.join(right.hint("merge"), "lane").drop("lane").mapInArrow(near, "by int, test_id long, train_id long, label int, score double")
+    rank = F.row_number().over(W.partitionBy("by", "test_id").orderBy(F.desc("score"), "train_id"))
+    out = each.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumnRenamed("by", by) if by else out.drop("by")
+
+
+def knn_evaluation(test: DataFrame, train: DataFrame, ks: list[int], tries: str, temperature: float = 0.07, tops: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """``k, tries, top1_mean, top1_std, ...``: accuracy in hundredths of votes of the k nearest, over tries of train rows.
+
+    ``test`` has ``id, v, label``, ``train`` also the number of its try; a row may be in several. A k beyond a try's train
+    rows is their number, and counts once. Deviations are of the sample, null for one try.
+    """
+    size = train.groupBy(F.col(tries).cast("int").alias("try")).agg(F.count(F.lit(1)).alias("n"))
+    want = size.select("try", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(k) for k in sorted(set(ks))]), lambda k: F.least(k.cast("long"), F.col("n")).cast("int")))).alias("k"))
+    nearest = knn(test, train.withColumn("try", F.col(tries).cast("int")), max(ks), "try")
+    group = W.partitionBy("try", "test_id")
+    weight = F.exp((F.col("score") - F.max("score").over(group)) / temperature)
+    each = nearest.withColumn("w", weight).join(F.broadcast(want), "try").where("rank <= k").groupBy("try", "k", "test_id", "label").agg(F.sum("w").alias("w"))
+    order = F.row_number().over(W.partitionBy("try", "k", "test_id").orderBy(F.desc(F.round("w", 6)), "label"))
+    target = test.select(F.col("id").alias("test_id"), F.coalesce(F.col("label").cast("int"), F.lit(-1)).alias("target"))
+    ranked = each.withColumn("place", order).join(target, "test_id")
+    hits = ranked.groupBy("try", "k", "test_id").agg(*[F.max(((F.col("label") == F.col("target")) & (F.col("place") <= n)).cast("int")).alias(f"top{n}") for n in tops])
+    per = hits.groupBy("try", "k").agg(*[(100 * F.avg(f"top{n}")).alias(f"top{n}") for n in tops])
+    stats = [f(f"top{n}").alias(f"top{n}_{name}") for n in tops for name, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    out = per.groupBy("k").agg(F.count(F.lit(1)).alias("tries"), *stats)
+    return out.select("k", "tries", *[F.round(f"top{n}_{name}", 6).alias(f"top{n}_{name}") for n in tops for name in ("mean", "std")])
 
 
 def knn_vote(nearest: DataFrame, ks: list[int], temperature: float) -> DataFrame:

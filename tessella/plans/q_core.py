@@ -310,6 +310,24 @@ def _(s, d):
     return hits.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("top1"), 6).alias("top1"), F.round(F.avg("top5"), 6).alias("top5"))
 
 
+SIDES = NN[: NN.index(" p AS")].rstrip(", \n")
+
+
+@query("g6_knn_tries", f"""WITH {SIDES}, tr AS (SELECT train_id, label, v, y.t AS try FROM u, (SELECT unnest(range(3))::INT AS t) y QUALIFY row_number() OVER (PARTITION BY y.t, label ORDER BY sha256(concat(y.t, ':', train_id)), train_id) <= 4),
+ ks AS (SELECT DISTINCT try, least(k, n) AS k FROM (VALUES (5), (20), (100)) a(k), (SELECT try, count(*) AS n FROM tr GROUP BY 1)), p AS (SELECT try, test_id, target, label, round(list_dot_product(t.v, tr.v), 6) AS score, train_id FROM t CROSS JOIN tr),
+ nn AS (SELECT *, row_number() OVER (PARTITION BY try, test_id ORDER BY score DESC, train_id) AS rank, exp((score - max(score) OVER (PARTITION BY try, test_id)) / 0.07) AS e FROM p), z AS (SELECT nn.try, k, test_id, target, label, sum(e) AS w FROM nn JOIN ks ON ks.try = nn.try AND rank <= k GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY try, k, test_id ORDER BY round(w, 6) DESC, label) AS place FROM z), h AS (SELECT try, k, test_id, max(CAST(label = target AND place <= 1 AS INT)) AS a, max(CAST(label = target AND place <= 5 AS INT)) AS b FROM r GROUP BY 1, 2, 3), m AS (SELECT try, k, 100 * avg(a) AS a, 100 * avg(b) AS b FROM h GROUP BY 1, 2)
+ SELECT k::INT AS k, count(*) AS tries, round(avg(a), 6) AS top1_mean, round(stddev_samp(a), 6) AS top1_std, round(avg(b), 6) AS top5_mean, round(stddev_samp(b), 6) AS top5_std FROM m GROUP BY k""")
+def _(s, d):
+    from pyspark.sql import Window as W
+
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    train = e.where("id % 5 <> 0").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    order = F.sha2(F.concat_ws(":", "t", "id"), 256)
+    few = train.withColumn("n", F.row_number().over(W.partitionBy("t", "label").orderBy(order, "id"))).where("n <= 4")
+    return vectors.knn_evaluation(e.where("id % 5 = 0"), few, [5, 20, 100], "t")
+
+
 @query("g7_similarity_map", "SELECT a.vec_id AS anchor_id, e.vec_id AS id, round(list_dot_product(list_transform(e.embedding, lambda z: CAST(z AS DOUBLE)), list_transform(a.embedding, lambda z: CAST(z AS DOUBLE))), 6) AS cosine FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 4) a")
 def _(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
