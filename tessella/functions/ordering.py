@@ -36,3 +36,18 @@ def number_sorted(df: DataFrame, cols: list[str], name: str) -> DataFrame:
 
 def hash_bucket(seed: object, *ids: str | Column, digits: int = 3) -> Column:
     return F.substring(hash_order(seed, *ids), 1, digits)
+
+
+def running_sums(df: DataFrame, order: str, cols: list[str]) -> DataFrame:
+    """``df`` with ``{c}_before`` of each column: its sum over rows of smaller ``order``, whose values differ.
+
+    Range partitions are written once, added up, and each is shifted by those before it.
+    """
+    parts = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    sums = parts.groupBy("__part").agg(*[F.sum(c).alias(c) for c in cols])
+    starts = sums.select("__part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}") for c in cols])
+    own = W.partitionBy("__part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    inside = [F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"{c}_in") for c in cols]
+    out = parts.select("*", *inside).join(F.broadcast(starts), "__part")
+    return out.select(*df.columns, *[(F.col(f"{c}_in") + F.col(f"__{c}")).alias(f"{c}_before") for c in cols])

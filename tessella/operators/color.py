@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.hashing import derive_seed
 from tessella.functions.quantiles import count_rows, mean_value, percentile, ranked_values
 
 #: The rows of the matrices from linear RGB to cone responses, from those to OKLab, and from linear RGB to XYZ (D65).
@@ -106,12 +110,16 @@ def delta_e_stats(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> Data
 def color_visibility(targets: DataFrame, seen: DataFrame, key: str, limits: tuple[int, ...] = (1, 2, 5, 10)) -> DataFrame:
     """Per key: target colours, and the share of them that some seen colour of the key comes within each limit of. Both have ``r, g, b``.
 
-    Equal colours of a key meet once; a key is one image's palette and its distinct colours.
+    Equal colours of a key meet once; a key is one image's palette and its distinct colours. Each side's colours are turned
+    into Lab before they meet.
     """
-    one = lambda df, name: df.select(key, F.struct("r", "g", "b").alias(name)).distinct()
-    color = lambda n: lab(F.col(f"{n}.r"), F.col(f"{n}.g"), F.col(f"{n}.b"))
+
+    def one(df: DataFrame, name: str) -> DataFrame:
+        own = df.select(key, F.struct("r", "g", "b").alias(name)).distinct()
+        return own.withColumn(f"{name}_lab", lab(F.col(f"{name}.r"), F.col(f"{name}.g"), F.col(f"{name}.b")))
+
     both = one(targets, "t").join(one(seen, "s"), key, "left")
-    best = both.groupBy(key, "t").agg(F.min(delta_e(color("t"), color("s"))).alias("d"))
+    best = both.groupBy(key, "t").agg(F.min(delta_e(F.col("t_lab"), F.col("s_lab"))).alias("d"))
     return best.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg((F.coalesce("d", F.lit(1e9)) <= m).cast("int")), 6).alias(f"within_{m}") for m in limits])
 
 
@@ -120,10 +128,10 @@ BANDS = {"mild": (2.0, 3.0), "moderate": (5.0, 8.0), "strong": (10.0, 16.0), "st
 
 
 def palette_shift(palette: DataFrame, key: str, band: str, seed: int) -> DataFrame:
-    """``palette`` with ``new_r, new_g, new_b``: each colour moved in Lab by a hash of seed, key and colour, within the band."""
+    """``palette`` with ``new_r, new_g, new_b``: each colour moved in Lab by sha256 of seed, part, key and colour, within the band."""
     if band not in BANDS:
         raise ValueError(f"unknown band: {band}")
-    part = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col(key).cast("string"), "r", "g", "b"), F.lit(20001)) / 10000.0 - 1.0
+    part = lambda k: derive_seed(seed, F.lit(k), key, "r", "g", "b", modulus=20001) / 10000.0 - 1.0
     light, tint = BANDS[band]
     own = lab(F.col("r"), F.col("g"), F.col("b"))
     moved = palette.withColumn("__l", own)
@@ -159,18 +167,48 @@ def decode_palettes(preds: DataFrame, key: str) -> DataFrame:
     return taken.select(key, "colors", hexes.alias("hex"), F.when(short, F.concat(F.lit("only "), F.size("colors"), F.lit(" of "), "n_wanted")).alias("warning"))
 
 
-MOST_MATCHED = 12
+def cheapest_pairing(cost: np.ndarray) -> np.ndarray:
+    """The column that each row takes in the cheapest pairing of all rows; there are at least as many columns as rows.
+
+    Rows come in turn. A new row looks for the cheapest path of takings and givings to a free column, by costs less the
+    prices of rows and columns, which keep all of them at 0 or more; along the path the takings change.
+    """
+    n, m = cost.shape
+    of_row, of_col = np.zeros(n), np.zeros(m)
+    holder = np.full(m, -1)
+    for new in range(n):
+        best, before, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, col, so_far = new, -1, 0.0
+        while True:
+            way = so_far + cost[row] - of_row[row] - of_col
+            nearer = ~done & (way < best)
+            best[nearer], before[nearer] = way[nearer], col
+            col = int(np.where(done, np.inf, best).argmin())
+            so_far, done[col] = best[col], True
+            if holder[col] < 0:
+                break
+            row = int(holder[col])
+        of_row[new] += so_far
+        held = done & (holder >= 0)
+        of_row[holder[held]] += so_far - best[held]
+        of_col[held] -= so_far - best[held]
+        while col >= 0:
+            last = int(before[col])
+            holder[col] = holder[last] if last >= 0 else new
+            col = last
+    out = np.empty(n, np.int64)
+    out[holder[holder >= 0]] = np.flatnonzero(holder >= 0)
+    return out
 
 
 def match_palettes(pairs: DataFrame, key: str, rgb_weight: float = 1.0, seen_weight: float = 1.0, presence_weight: float = 0.1) -> DataFrame:
     """``key, target, pred, cost`` of the cheapest pairing of ``pairs(key, preds array<struct<r, g, b, presence>>, targets array<struct<r, g, b>>)``.
 
     Cost is mean difference of RGB, OKLab distance and minus the log of the sigmoid of presence, weighted. The pairing is
-    exact: targets are taken in turn, and for each set of used predictions the cheapest way there is kept. Sets are masks, so
-    a row has at most MOST_MATCHED predictions (more is an error) and at least as many as targets.
+    exact, for palettes of any length; where there are fewer predictions than targets, some targets stay without one. Costs
+    are columns; a row's table of them is matched where it lies. ``key`` has one row a value.
     """
-    rows = pairs.select(key, F.when(F.size("preds") > MOST_MATCHED, F.raise_error(F.lit(f"more than {MOST_MATCHED} predicted colours"))).otherwise(F.col("preds")).alias("preds"), "targets")
-    each = rows.select(key, "preds", F.posexplode("targets").alias("target", "t")).select(key, "target", "t", F.posexplode("preds").alias("pred", "p"))
+    each = pairs.select(key, "preds", F.posexplode("targets").alias("target", "t")).select(key, "target", "t", F.posexplode("preds").alias("pred", "p"))
     ok = lambda c: oklab(F.col(f"{c}.r"), F.col(f"{c}.g"), F.col(f"{c}.b"))
     each = each.withColumn("x", ok("p")).withColumn("y", ok("t"))
     l1 = sum((F.abs(F.col(f"p.{c}") - F.col(f"t.{c}")) for c in "rgb"), F.lit(0)) / (3 * 255.0)
@@ -178,20 +216,25 @@ def match_palettes(pairs: DataFrame, key: str, rgb_weight: float = 1.0, seen_wei
     sure = -F.log1p(F.exp(-F.col("p.presence")))
     costs = each.select(key, "target", "pred", (rgb_weight * l1 + seen_weight * far - presence_weight * sure).alias("cost"))
     table = costs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("target", "pred", "cost"))).alias("c"))
-    by_target = F.transform(F.array_distinct(F.transform("c", lambda x: x["target"])), lambda t: F.filter("c", lambda x: x["target"] == t))
-    path = F.array(F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("used")))
-
-    def step(ways, options):
-        grown = F.flatten(F.transform(ways, lambda w: F.transform(F.filter(options, lambda o: ~F.array_contains(w["used"], o["pred"])), lambda o: F.struct((w["sum"] + o["cost"]).alias("sum"), F.concat(w["used"], F.array(o["pred"])).alias("used")))))
-        best = F.array_sort(grown)
-        # Of all ways that use the same predictions only the cheapest can be part of the answer.
-        keys = F.transform(best, lambda w: F.array_sort(w["used"]))
-        return F.filter(best, lambda w, i: F.array_position(keys, F.array_sort(w["used"])) == i + 1)
-
-    ways = table.select(key, "c", F.element_at(F.aggregate(by_target, path.cast("array<struct<sum:double,used:array<int>>>"), step), 1)["used"].alias("used"))
-    out = ways.select(key, "c", F.posexplode("used").alias("target", "pred"))
-    cost = F.element_at(F.filter("c", lambda x: (x["target"] == F.col("target")) & (x["pred"] == F.col("pred"))), 1)["cost"]
-    return out.select(key, "target", "pred", F.round(cost, 6).alias("cost"))
+    rows = table.select(key, F.transform("c", lambda x: x["cost"]).alias("cost"), (F.array_max(F.transform("c", lambda x: x["pred"])) + 1).alias("n"))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, target, pred, price = [], [], [], []
+            for r, (flat, n) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                cost = np.array(flat).reshape(-1, n)
+                flip = len(cost) > n
+                own = cheapest_pairing(cost.T if flip else cost)
+                rows_, cols = (own, np.arange(len(own))) if flip else (np.arange(len(own)), own)
+                order = np.argsort(rows_)
+                owner += [r] * len(own)
+                target += rows_[order].tolist()
+                pred += cols[order].tolist()
+                price += cost[rows_[order], cols[order]].tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(target, pa.int32()), pa.array(pred, pa.int32()), pa.array(price, pa.float64())], [key, "target", "pred", "cost"])
+
+    out = rows.mapInArrow(match, f"{key} {dict(pairs.dtypes)[key]}, target int, pred int, cost double")
+    return out.withColumn("cost", F.round("cost", 6))
 
 
 def palette_metrics(rows: DataFrame, matched: DataFrame, key: str, slots: int) -> DataFrame:

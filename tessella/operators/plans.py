@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.hashing import derive_seed, hash_order
-from tessella.functions.ordering import number_by_hash
+from tessella.functions.ordering import number_by_hash, number_sorted, running_sums
 
 from .identity import split_units
 
@@ -113,7 +113,7 @@ def eval_list(df: DataFrame, id_col: str, n: int) -> DataFrame:
     if first is None:
         return ids.select(id_col, F.lit("train").alias("split"), F.lit(True).alias("full_eval"))
     held = F.coalesce("__val", F.lit(False))
-    return ids.join(F.broadcast(first), id_col, "left").select(id_col, F.when(held, "val").otherwise("train").alias("split"), held.alias("full_eval"))
+    return ids.join(first, id_col, "left").select(id_col, F.when(held, "val").otherwise("train").alias("split"), held.alias("full_eval"))
 
 
 def tiled_plan(df: DataFrame, id_col: str, size: int, seed: int, epoch: int, world: int) -> DataFrame:
@@ -149,8 +149,6 @@ def sharded_plan(df: DataFrame, id_col: str, seed: int, world: int, start: int,
 
 def pad_shards(df: DataFrame, order: str, world: int) -> DataFrame:
     """``place, index, id, rank``: the table filled up from its beginning to a multiple of ``world``; filled places have index -1."""
-    from tessella.functions.ordering import number_sorted
-
     n = df.count()
     more = -n % world
     placed = number_sorted(df.select(order), [order], "place").select("place", F.col("place").alias("index"), F.col(order))
@@ -210,38 +208,42 @@ def scale_budgets(df: DataFrame, id_col: str, raw: Column, target: int, least: i
     cap = max(most, goal)
     scaled = F.least(F.greatest(F.lit(least), F.bround(F.col("raw") * F.lit(float(goal)) / F.lit(float(total or 1)), 0)), F.lit(cap)).cast("long")
     rows = rows.select(id_col, scaled.alias("b")).checkpoint()
-    sizes = sorted((r.b, r.n) for r in rows.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect())  # distinct budgets, few
-    now = sum(b * k for b, k in sizes)
-    counts = dict(sizes)
-    level, extra = None, 0
-    if now > goal:
-        drift, b = now - goal, max(counts)
-        while b > least and drift > 0:
-            k = sum(v for c, v in counts.items() if c >= b)
-            if k >= drift:
-                level, extra, drift = b, drift, 0
-            else:
-                drift -= k
-                b -= 1
-                level, extra = b, 0
-        return _moved(rows, id_col, F.lit(False) if level is None else F.col("b") >= level, level, extra, -1)
-    drift, b = goal - now, min(counts, default=0)
-    while b < cap and drift > 0:
-        k = sum(v for c, v in counts.items() if c <= b)
-        if k >= drift:
-            level, extra, drift = b, drift, 0
-        else:
-            drift -= k
-            b += 1
-            level, extra = b, 0
-    return _moved(rows, id_col, F.lit(False) if level is None else F.col("b") <= level, level, extra, 1)
-
-
-def _moved(rows: DataFrame, id_col: str, some: Column, level: int | None, extra: int, step: int) -> DataFrame:
+    found = _level(rows, goal, least, cap)
+    if found is None:
+        return rows.select(id_col, F.col("b").alias("budget"))
+    level, extra, step = found
+    return _moved(rows, id_col, F.col("b") >= level if step < 0 else F.col("b") <= level, level, extra, step)
+
+
+def _level(rows: DataFrame, goal: int, least: int, cap: int) -> tuple[int, int, int] | None:
+    """The level that budgets ``b`` beyond it take so that they add up to ``goal``, how many go one step on, and the step; None if they do.
+
+    What lies beyond a budget follows from running sums over the distinct ones; only the one to start from is read.
+    """
+    counts = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    at = running_sums(counts.withColumn("s", F.col("b") * F.col("n")), "b", ["n", "s"])
+    whole = counts.agg(F.sum("n").alias("n"), F.sum(F.col("b") * F.col("n")).alias("s")).first()
+    if not whole.n or whole.s == goal:
+        return None
+    drift = abs(whole.s - goal)
+    if whole.s > goal:
+        beyond, over = whole.n - F.col("n_before"), (whole.s - F.col("s_before")) - F.col("b") * (whole.n - F.col("n_before"))
+        b, k, gone = at.where(over <= drift).agg(F.min(F.struct("b", beyond.alias("k"), over.alias("o"))).alias("x")).select("x.b", "x.k", "x.o").first()
+        level, extra = b - (drift - gone) // k, (drift - gone) % k
+        return (level, extra, -1) if level > least or level == least and not extra else (least, 0, -1)
+    n, s = F.col("n_before") + F.col("n"), F.col("s_before") + F.col("s")
+    b, k, gone = at.where(F.col("b") * n - s <= drift).agg(F.max(F.struct("b", n.alias("k"), (F.col("b") * n - s).alias("o"))).alias("x")).select("x.b", "x.k", "x.o").first()
+    level, extra = b + (drift - gone) // k, (drift - gone) % k
+    return (level, extra, 1) if level < cap or level == cap and not extra else (cap, 0, 1)
+
+
+def _moved(rows: DataFrame, id_col: str, some: Column, level: int, extra: int, step: int) -> DataFrame:
     """The budgets of ``some`` set to ``level``, the first ``extra`` of them by id one step on."""
-    first = rows.where(some).orderBy(id_col).limit(extra).select(id_col, F.lit(step).alias("__step"))
-    moved = F.when(some, F.lit(level) + F.coalesce("__step", F.lit(0))).otherwise(F.col("b"))
-    return rows.join(first, id_col, "left").select(id_col, moved.cast("long").alias("budget"))
+    if not extra:
+        return rows.select(id_col, F.when(some, F.lit(level)).otherwise(F.col("b")).cast("long").alias("budget"))
+    numbered = number_sorted(rows.where(some), [id_col], "__n").select(id_col, F.when(F.col("__n") < extra, level + step).otherwise(level).cast("long").alias("budget"))
+    return rows.where(~some).select(id_col, F.col("b").alias("budget")).union(numbered)
+
 
 
 def rare_class_order(df: DataFrame, split: str, code: str, codes: list[str]) -> DataFrame:

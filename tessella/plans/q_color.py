@@ -72,14 +72,33 @@ def _(s, d):
     return c.delta_e_stats(shifted(s, d).select(de.alias("de")), "de")
 
 
-@query("f24_color_visibility", f"""WITH {SHIFTED}, tt AS (SELECT DISTINCT sample_id, r, g, b FROM sh), ss AS (SELECT DISTINCT sample_id, r2, g2, b2 FROM sh), pp AS (SELECT * FROM tt JOIN ss USING (sample_id)), {lab_sql('pp', 'la', p='x')}, {lab_sql('la', 'lb_', ('r2', 'g2', 'b2'), 'y')}, {delta_sql('lb_', 'dd')},
- m AS (SELECT sample_id, r, g, b, min(de) AS d FROM dd GROUP BY ALL) SELECT sample_id, count(*) AS n, {', '.join(f'round(avg(CAST(d <= {k} AS INT)), 6) AS within_{k}' for k in (1, 2, 5, 10))} FROM m GROUP BY 1""")
+@query("f24_color_visibility", f"""WITH {SHIFTED}, tt AS (SELECT DISTINCT r, g, b FROM sh), ss AS (SELECT DISTINCT r2, g2, b2 FROM sh), {lab_sql('tt', 'tl', p='x')}, {lab_sql('ss', 'sl', ('r2', 'g2', 'b2'), 'y')},
+ tm AS MATERIALIZED (SELECT * FROM tl), sm AS MATERIALIZED (SELECT * FROM sl), pp AS MATERIALIZED (SELECT DISTINCT a.sample_id, a.r, a.g, a.b, c.r2, c.g2, c.b2 FROM sh a JOIN sh c USING (sample_id)),
+ lb_ AS MATERIALIZED (SELECT sample_id, pp.r, pp.g, pp.b, xl, xa, xb_, yl, ya, yb_ FROM pp JOIN tm ON tm.r = pp.r AND tm.g = pp.g AND tm.b = pp.b JOIN sm ON sm.r2 = pp.r2 AND sm.g2 = pp.g2 AND sm.b2 = pp.b2), {delta_sql('lb_', 'dd')},
+ m AS MATERIALIZED (SELECT sample_id, r, g, b, min(de) AS d FROM dd GROUP BY ALL) SELECT sample_id, count(*) AS n, {', '.join(f'round(avg(CAST(d <= {k} AS INT)), 6) AS within_{k}' for k in (1, 2, 5, 10))} FROM m GROUP BY 1""")
 def _(s, d):
     rows = shifted(s, d)
     return c.color_visibility(rows.select("sample_id", "r", "g", "b"), rows.select("sample_id", F.col("r2").alias("r"), F.col("g2").alias("g"), F.col("b2").alias("b")), "sample_id")
 
 
-@query("f25_palette_shift")  # the hash has no SQL; tests hold the bands and that it repeats
+def shift_sql(source: str, key: str, seed: int, band: str) -> str:
+    """CTEs up to ``sf``: the source's rows with ``new_r, new_g, new_b``."""
+    (x, y, z), edge = c.RGB_TO_XYZ, 6 / 29
+    det = x[0] * (y[1] * z[2] - y[2] * z[1]) - x[1] * (y[0] * z[2] - y[2] * z[0]) + x[2] * (y[0] * z[1] - y[1] * z[0])
+    m = [x, y, z]
+    cof = lambda r, k: m[(r + 1) % 3][(k + 1) % 3] * m[(r + 2) % 3][(k + 2) % 3] - m[(r + 1) % 3][(k + 2) % 3] * m[(r + 2) % 3][(k + 1) % 3]
+    inverse = [[cof(r, k) / det for r in range(3)] for k in range(3)]
+    part = lambda k: f"(CAST(concat('0x', substr(sha256(concat('{seed}:{k}:', {key}, ':', r, ':', g, ':', b)), 1, 15)) AS BIGINT) % 20001 / 10000.0::DOUBLE - 1)"
+    light, tint = c.BANDS[band]
+    cube = lambda v: f"CASE WHEN {v} > {edge}::DOUBLE THEN {v} * {v} * {v} ELSE {3 * edge * edge}::DOUBLE * ({v} - {4 / 29}::DOUBLE) END"
+    byte = lambda v: f"CAST(round(255 * CASE WHEN greatest(least({v}, 1), 0) <= 0.0031308 THEN 12.92 * greatest(least({v}, 1), 0) ELSE 1.055 * pow(greatest(least({v}, 1), 0), {1 / 2.4}::DOUBLE) - 0.055 END) AS INT)"
+    rgb = times(inverse, ["w0", "w1", "w2"])
+    return f"""{lab_sql(source, 'sf_l')}, sf_m AS MATERIALIZED (SELECT * FROM sf_l), sf_p AS (SELECT *, l + {light} * {part(0)} AS l2, a + {tint} * {part(1)} AS a2, b_ + {tint} * {part(2)} AS b2 FROM sf_m),
+ sf_f AS (SELECT *, (l2 + 16) / 116 + a2 / 500 AS f0, (l2 + 16) / 116 AS f1, (l2 + 16) / 116 - b2 / 200 AS f2 FROM sf_p), sf_w AS MATERIALIZED (SELECT *, {', '.join(f"({cube(f'f{k}')}) * {w}::DOUBLE AS w{k}" for k, w in enumerate(c.WHITE))} FROM sf_f),
+ sf_c AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS c{n}' for n, e in zip('rgb', rgb, strict=True))} FROM sf_w), sf AS (SELECT {key}, r, g, b, {', '.join(f"{byte(f'c{n}')} AS new_{n}" for n in 'rgb')} FROM sf_c)"""
+
+
+@query("f25_palette_shift", f"WITH {v.PALETTES}, {shift_sql('palette_rows', 'sample_id', 7, 'moderate')} SELECT * FROM sf")
 def _(s, d):
     return c.palette_shift(v.palette_rows(s, d), "sample_id", "moderate", 7)
 
@@ -102,7 +121,7 @@ def _(s, d):
 
 def _sets(s, d):
     rows = shifted(s, d).groupBy((F.col("sample_id") * 3 + F.col("r") % 3).alias("sample_id")).agg(F.array_sort(F.collect_list(F.struct("r", "g", "b", "r2", "g2", "b2"))).alias("o"))
-    targets = F.slice(F.transform("o", lambda x: F.struct(x["r"].alias("r"), x["g"].alias("g"), x["b"].alias("b"))), 1, 4)
+    targets = F.transform("o", lambda x: F.struct(x["r"].alias("r"), x["g"].alias("g"), x["b"].alias("b")))
     preds = F.transform("o", lambda x: F.struct(x["r2"].alias("r"), x["g2"].alias("g"), x["b2"].alias("b"), (x["g"] / 64.0).alias("presence")))
     return rows.select("sample_id", preds.alias("preds"), targets.alias("targets"))
 

@@ -81,13 +81,13 @@ def _(s, d):
     return at.select("image_id", "row", "col", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"))
 
 
-@query("e10_coverage", f"""WITH {v.IMAGES}, small AS (SELECT * FROM images WHERE image_id % 10 = 0), t AS (SELECT image_id, x, y FROM (SELECT *, unnest(range(0, height, 384)) AS y FROM (SELECT *, unnest(range(0, width, 384)) AS x FROM small)) WHERE NOT (image_id % 70 = 0 AND x = 384 AND y = 0) UNION ALL SELECT image_id, 192, 192 FROM small WHERE image_id % 30 = 0),
+@query("e10_coverage", f"""WITH {v.IMAGES}, small AS (SELECT * FROM images), t AS (SELECT image_id, x, y FROM (SELECT *, unnest(range(0, height, 384)) AS y FROM (SELECT *, unnest(range(0, width, 384)) AS x FROM small)) WHERE NOT (image_id % 7 = 0 AND x = 384 AND y = 0) UNION ALL SELECT image_id, 192, 192 FROM small WHERE image_id % 3 = 0),
  c AS (SELECT image_id, unnest(range(0, width, 16)) AS cx, height FROM small), d AS (SELECT image_id, cx, unnest(range(0, height, 16)) AS cy FROM c), n AS (SELECT d.image_id, cx, cy, count(t.x) AS n FROM d LEFT JOIN t ON t.image_id = d.image_id AND cx >= t.x AND cx < t.x + 384 AND cy >= t.y AND cy < t.y + 384 GROUP BY ALL)
  SELECT image_id, CAST(256 * count(*) FILTER (n = 0) AS BIGINT) AS holes, CAST(256 * count(*) FILTER (n > 1) AS BIGINT) AS over FROM n GROUP BY 1""")
 def _(s, d):
-    i = v.images(s, d).where("image_id % 10 = 0")
-    t = g.core_tiles(i, 384, 64).where("not (image_id % 70 = 0 and core_x = 384 and core_y = 0)").select("image_id", F.col("core_x").alias("x"), F.col("core_y").alias("y"), F.lit(384).alias("w"), F.lit(384).alias("h"))
-    return g.coverage(i, t.union(i.where("image_id % 30 = 0").select("image_id", F.lit(192), F.lit(192), F.lit(384), F.lit(384))))
+    i = v.images(s, d)
+    t = g.core_tiles(i, 384, 64).where("not (image_id % 7 = 0 and core_x = 384 and core_y = 0)").select("image_id", F.col("core_x").alias("x"), F.col("core_y").alias("y"), F.lit(384).alias("w"), F.lit(384).alias("h"))
+    return g.coverage(i, t.union(i.where("image_id % 3 = 0").select("image_id", F.lit(192), F.lit(192), F.lit(384), F.lit(384))))
 
 
 @query("e5_offgrid_origins")  # tries by hash with a limit of their number: tests hold the regions, the grid and that it repeats
@@ -122,12 +122,12 @@ def _(s, d):
     return g.training_manifest(c, 64, 0.5, "score", "category", "rich", 20)
 
 
-TILED = f"{v.CELLS}, tl AS (SELECT i.image_id, a.k AS tile, a.x0, a.y0 FROM (SELECT DISTINCT image_id FROM cells WHERE image_id % 4 = 0) i, (VALUES (0, 0, 0), (1, 4, 0), (2, 2, 3)) a(k, x0, y0))"
+TILED = f"{v.CELLS}, tl AS (SELECT i.image_id, a.k AS tile, a.x0, a.y0 FROM (SELECT DISTINCT image_id FROM cells) i, (VALUES (0, 0, 0), (1, 4, 0), (2, 2, 3)) a(k, x0, y0))"
 
 
 def tiles(s, d):
     rows = F.array(*[F.struct(F.lit(k).alias("tile"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(4).alias("w"), F.lit(4).alias("h")) for k, x, y in ((0, 0, 0), (1, 4, 0), (2, 2, 3))])
-    return v.cells(s, d).where("image_id % 4 = 0").select("image_id").distinct().select("image_id", F.inline(rows))
+    return v.cells(s, d).select("image_id").distinct().select("image_id", F.inline(rows))
 
 
 @query("e11_extract_tiles", f"WITH {TILED}, p AS (SELECT *, ty, tx FROM tl, (SELECT unnest(range(-1, 5))::INT AS ty), (SELECT unnest(range(-1, 5))::INT AS tx)) SELECT p.image_id, tile, ty, tx, coalesce(c.target, -1) AS code, c.target IS NOT NULL AS inside FROM p LEFT JOIN cells c ON c.image_id = p.image_id AND c.y = y0 + ty AND c.x = x0 + tx")

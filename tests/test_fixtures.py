@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,29 @@ def test_matching_is_the_cheapest_of_all(spark):
     assert sorted((t, p) for t, p, _ in got[99]) == [(0, 1), (1, 0)]
 
 
+def test_long_and_uneven_palettes_are_matched(spark):
+    rng = random.Random(8)
+    color_ = lambda: tuple(rng.randrange(256) for _ in range(3))
+    same = [color_() for _ in range(40)]
+    rows = [(0, [(*c, 0.0) for c in reversed(same)], same), (1, [(*color_(), 0.0) for _ in range(2)], [color_() for _ in range(6)]), (2, [], [color_()]), (3, [(*color_(), 0.0)], [])]
+    df = spark.createDataFrame(rows, "k int, preds array<struct<r:int,g:int,b:int,presence:double>>, targets array<struct<r:int,g:int,b:int>>")
+    got = {}
+    for r in color.match_palettes(df, "k").collect():
+        got.setdefault(r.k, []).append((r.target, r.pred))
+    assert sorted(got[0]) == [(i, 39 - i) for i in range(40)]
+    assert len(got[1]) == 2 == len({t for t, _ in got[1]}) and set(got) == {0, 1}
+
+
+def test_pairing_is_the_cheapest_of_any_shape():
+    rng = np.random.default_rng(3)
+    for n in range(1, 6):
+        for m in range(n, 7):
+            cost = rng.integers(0, 6, (n, m)).astype(float) - (2 if m % 2 else 0)
+            got = color.cheapest_pairing(cost)
+            assert len(set(got.tolist())) == n
+            assert cost[np.arange(n), got].sum() == min(cost[range(n), list(w)].sum() for w in itertools.permutations(range(m), n))
+
+
 def test_palette_shift_stays_in_its_band(spark):
     rows = spark.createDataFrame([(i, i * 5 % 256, i * 11 % 256, i * 17 % 256) for i in range(60)], "k int, r int, g int, b int")
     a, b = (sorted(color.palette_shift(rows, "k", band, 3).collect()) for band in ("mild", "mild"))
