@@ -22,21 +22,29 @@ def overlap_tiles(images: DataFrame, tile: int, stride: int) -> DataFrame:
     return images.select("image_id", "width", "height", F.explode(starts(F.col("height"))).alias("y")).select("image_id", F.explode(starts(F.col("width"))).alias("x"), "y")
 
 
-def box_iou(boxes: DataFrame, least: float = 0.0, block: int = 64) -> DataFrame:
+def box_iou(boxes: DataFrame, least: float = 0.0, spread: int = 8) -> DataFrame:
     """Pairs of one image's boxes with their IoU, where it exceeds ``least`` (0 or more).
 
-    Boxes meet in the square blocks that they cover, and a pair counts in the first block that both do, so boxes far from
-    each other never meet. Boxes without area overlap nothing.
+    A box's level is the power of two at or above its longer side, and blocks of a level are ``spread`` times that: a box
+    lies in four blocks at most. A pair meets at the larger box's level, so a box also goes to its image's higher levels, and
+    counts in the first block that both cover. Boxes without area overlap nothing.
     """
-    cover = lambda c, s: F.sequence(F.floor(F.col(c) / block), F.floor((F.col(c) + F.col(s) - 1e-9) / block))
-    at = boxes.where("w > 0 and h > 0").withColumn("bx", F.explode(cover("x", "w"))).withColumn("by", F.explode(cover("y", "h")))
-    one = lambda k: at.select("image_id", "bx", "by", *[F.col(c).alias(f"{c}{k}") for c in ("n", "x", "y", "w", "h")])
-    first = (F.col("bx") == F.floor(F.greatest("x1", "x2") / block)) & (F.col("by") == F.floor(F.greatest("y1", "y2") / block))
-    both = one(1).join(one(2), ["image_id", "bx", "by"]).where((F.col("n1") < F.col("n2")) & first)
-    side = lambda p, s: F.greatest(F.lit(0), F.least(F.col(f"{p}1") + F.col(f"{s}1"), F.col(f"{p}2") + F.col(f"{s}2")) - F.greatest(f"{p}1", f"{p}2"))
-    inter = side("x", "w") * side("y", "h")
+    level = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.greatest("w", "h").cast("double"))), F.lit(0))).cast("long") * spread
+    own = boxes.where("w > 0 and h > 0").select("image_id", "n", "x", "y", "w", "h", level.alias("level"))
+    levels = own.groupBy("image_id").agg(F.collect_set("level").alias("levels"))  # a few whole numbers an image
+    cover = lambda c, s: F.sequence(F.floor(F.col(c) / F.col("at")), F.floor((F.col(c) + F.col(s) - 1e-9) / F.col("at")))
+    spots = lambda df: df.withColumn("bx", F.explode(cover("x", "w"))).withColumn("by", F.explode(cover("y", "h")))
+    low = spots(own.join(levels, "image_id").withColumn("at", F.explode(F.filter("levels", lambda v: v >= F.col("level")))).drop("levels"))
+    high = spots(own.withColumn("at", F.col("level")))
+    key = ["image_id", "at", "bx", "by"]
+    one = lambda df, k: df.select(*key, *[F.col(c).alias(f"{c}{k}") for c in ("n", "x", "y", "w", "h", "level")])
+    first = (F.col("bx") == F.floor(F.greatest("x1", "x2") / F.col("at"))) & (F.col("by") == F.floor(F.greatest("y1", "y2") / F.col("at")))
+    once = (F.col("level1") < F.col("level2")) | (F.col("n1") < F.col("n2"))
+    both = one(low, 1).join(one(high, 2), key).where(once & first)
+    shared = lambda p, s: F.greatest(F.lit(0), F.least(F.col(f"{p}1") + F.col(f"{s}1"), F.col(f"{p}2") + F.col(f"{s}2")) - F.greatest(f"{p}1", f"{p}2"))
+    inter = shared("x", "w") * shared("y", "h")
     iou = F.round(inter / (F.col("w1") * F.col("h1") + F.col("w2") * F.col("h2") - inter), 6)
-    return both.select("image_id", "n1", "n2", iou.alias("iou"), (iou >= 0.9).alias("same")).where(F.col("iou") > least)
+    return both.select("image_id", F.least("n1", "n2").alias("n1"), F.greatest("n1", "n2").alias("n2"), iou.alias("iou"), (iou >= 0.9).alias("same")).where(F.col("iou") > least)
 
 
 def box_convert(boxes: DataFrame, size: int) -> DataFrame:
