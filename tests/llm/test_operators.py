@@ -166,6 +166,28 @@ def test_license(spark):
     assert license_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_license_kin_are_told_apart(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3."
+    cases = {
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+        "Licensed under the GNU General Public License version 3": "gpl",
+        "Licensed under the GNU Lesser General Public License version 3": "lgpl",
+        "Licensed under the GNU Affero General Public License version 3": "agpl",
+        gnu.format(""): "gpl",
+        gnu.format("Affero "): "agpl",
+        gnu.format("Lesser ").replace("program", "library"): "lgpl",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+        "Licensed under the GNU General Public License version 3. " + "x " * 9 + "Licensed under CC BY-NC 4.0": "cc-by-nc,gpl",
+        "Licensed under the GNU Lesser General Public License version 3, also licensed under the GNU General Public License version 3": "gpl,lgpl",
+        "This work is licensed under a Creative Commons license": "",
+        "the software is free for any purpose": "",
+    }
+    got = {r.doc_id: r.labels for r in license_scan.scan(frame(spark, [*cases, *["words " + t + " more words" for t in cases]])).collect()}
+    for i, want in enumerate([*cases.values()] * 2):
+        assert got[i] == want, ([*cases] * 2)[i]
+
+
 def test_secrets(spark):
     texts = [None, "", "password = 'hunter22x'", "API_KEY:abc", "token=abcdef token = AKIA" + "Z9" * 10, "é " + "0f" * 15 + " AKIA123", "pwd: Tr0ub4dor&3zQ9 and pwd = password", "paſſword = aaaaaaaa", "x" * 100_000 + " secret=" + "q1W" * 9]
     got = {r.doc_id: r for r in secret_scan.scan(frame(spark, texts)).collect()}
