@@ -206,6 +206,57 @@ def test_secrets(spark):
     assert secret_scan.guess_cost("aaaaaaaaaaaaaaaa") < 4 and secret_scan.guess_cost("") == 0
 
 
+PROSE = ["my password is important to me", "the token is required here", "auth: required", "The secret is kindness.", "Her passphrase is well-known, sadly", "authorization: required for everyone", "token: optional", "a password is something personal", "basic understanding of authentication: needed", "credentials: provided separately", "the secret is that nothing happens", "passcode is mandatory", "your password is forgotten?", "Secret: unknown", "access key: none, private key: unavailable", "pass: everything", "the bearer understands", "tokens: several", "pwd is wrongly typed", "authorization is l'autorisation"]
+PLANTED = {"DB_PASS: Xk29!vQz7Lm": "Xk29!vQz7Lm", "the passphrase is 7hG$kk2pQx9z": "7hG$kk2pQx9z", "pwd: qpxzvkwjhtrmb": "qpxzvkwjhtrmb", "authHeader: kJh87sdfQQw21": "kJh87sdfQQw21", "credentials: Zx9-Qw8-Pl7-Mn6": "Zx9-Qw8-Pl7-Mn6"}
+
+
+def test_prose_has_no_secrets_and_planted_ones_are_found(spark):
+    # Words of the corpus are those that stand in three places outside of values.
+    corpus = ["it is important, required, optional, needed, provided, separately, mandatory, unavailable, unknown, none, everything, several; forgotten, wrongly"] * 3
+    texts = [*PROSE, *PLANTED, *corpus, None, ""]
+    got = {r.doc_id: r for r in secret_scan.scan(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        added = [s.split(":") for s in got[i].spans.split(",") if s.startswith("guess")]
+        assert [t[int(a) : int(b)] for _, a, b in added] == ([PLANTED[t]] if t in PLANTED else []), t
+    # The value of a copied text isn't a word of the corpus.
+    copies = [f"note {i}, pwd: qpxzvkwjhtrmb" for i in range(9)]
+    assert {r.n_guess for r in secret_scan.scan(frame(spark, copies)).collect()} == {1}
+    assert "qpxzvkwjhtrmb" not in secret_scan.corpus_ranks(frame(spark, copies))
+    empty = frame(spark, ["x"]).where("false")
+    assert secret_scan.scan(empty).count() == 0
+    twice = secret_scan.scan(frame(spark, ["pwd: qpxzvkwjhtrmb"] * 2, [1, None]).union(frame(spark, ["pwd: qpxzvkwjhtrmb"], [1]))).collect()
+    assert sorted(str(r.doc_id) for r in twice) == ["1", "1", "None"] and {r.n_guess for r in twice} == {1}
+
+
+def plain_cost(value, ranks):
+    """The cheapest of all ways to cut a value, by trying every one."""
+    import itertools
+    import math
+
+    kinds = sum(bool(re.search(c, value)) * k for c, k in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), ("[^A-Za-z0-9]", 33)))
+    step, n = math.log10(max(kinds, 10)), len(value)
+
+    def part(a, b):
+        s = value[a:b]
+        low = s.lower()
+        plain = low.translate(str.maketrans("@4301$57!", "aaeolssti"))
+        costs = [step * len(s)]
+        if plain in ranks and len(s) >= 3:
+            costs.append(math.log10(ranks[plain] + 1) + 0.5 * (s != low) + 0.5 * (plain != low))
+        for size in (1, 2, 3, 4):
+            if len(s) >= 2 * size and len(s) % size == 0 and low == low[:size] * (len(s) // size):
+                costs.append(size * step + math.log10(len(s) // size))
+        return min(costs)
+
+    return min(sum(part(a, b) for a, b in itertools.pairwise((0, *cut, n))) + math.log10(2) * len(cut) for k in range(n) for cut in itertools.combinations(range(1, n), k))
+
+
+def test_guess_cost_is_the_cheapest_segmentation():
+    ranks = {"cat": 3, "cats": 40, "sand": 7, "dog": 1, "and": 2}
+    for value in ("cat", "catsand", "Cats", "c4tdog", "xcat", "aaaa", "ababab", "dogdogx", "qzcatsandq", "Zdog9", "aab", "xyxyxyxy", "cat!dog"):
+        assert secret_scan.guess_cost(value, ranks) == pytest.approx(plain_cost(value, ranks)), value
+
+
 def test_secrets_under_longer_names():
     value = "wJalrXUtnFEMI/K7MDENG"
     for form in ("aws_secret_access_key = {}", "DB_PWD={}", "db_pass: {}", "SECRET_KEY_BASE={}", "Authorization: Bearer {}", "Bearer {}", "Authorization: Basic {}", "dbPassword={}", '"secretAccessKey": "{}",', "PGPASSWORD={}", "my-api-key: {}, next", "pwd is {}"):
