@@ -123,3 +123,16 @@ def _(s, d):
     table(s, d, "pages").select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").text(path)
     found = asset_inventory(s, [path], ["txt"])
     return found.select(F.regexp_extract("path", r"page_id=(\d+)", 1).alias("page_id"), "ext", "length", "sha256", "lossy")
+
+
+@query("a6_class_folder", "SELECT CAST(item_id AS VARCHAR) AS item, CAST(octet_length(encode(replace(text, chr(10), ' '))) + 1 AS BIGINT) AS length FROM benchmark WHERE item_id % 3 = 1")
+def _(s, d):
+    """A file an item, written in folders of split and class, and read back by a dataset's name."""
+    from tessella.sources.shared import fresh_path
+    from tessella.sources.tables import read_dataset
+
+    path = fresh_path(s)
+    rows = table(s, d, "benchmark").select((F.col("item_id") % 3).alias("part"), F.col("item_id").alias("item"), F.translate("text", "\n", " ").alias("value"))
+    rows.repartition("item").write.partitionBy("part", "item").text(path)
+    found = read_dataset(s, f"ClassFolder:root={path}:split=part=1:extra=txt")
+    return found.select(F.regexp_extract("class_id", "item=(.*)", 1).alias("item"), "length")

@@ -119,7 +119,12 @@ def _parquet(spark: SparkSession, root: str, split: str | None = None, extra: st
 
 
 def read_dataset(spark: SparkSession, spec: str) -> DataFrame:
-    """The dataset of ``Name:key=value:...`` with keys root, extra and split; unknown names and keys are errors."""
+    """The dataset of ``Name:key=value:...`` with keys root, extra and split; unknown names and keys are errors.
+
+    Names are Parquet, ClassFolder and OffsetLog, and what else ``source`` has registered.
+    """
+    from . import folders  # noqa: F401  it registers its kinds
+
     name, *rest = re.split(r":(?=(?:root|extra|split|[A-Za-z_]+)=)", spec)
     if name not in _SOURCES:
         raise ValueError(f"unknown dataset: {name}")
