@@ -28,6 +28,21 @@ def number_by_hash(df: DataFrame, seed: object, id_col: str, name: str, first: s
     return _numbered(own, bucket, ["__hash", id_col], name).drop("__hash", "__bucket")
 
 
+def number_within(df: DataFrame, group: str, seed: object, id_col: str, name: str, digits: int = 3) -> DataFrame:
+    """``df`` with its place from 0 within ``group``, by the hash of seed and id, then the id.
+
+    A group is dealt over 16 ** ``digits`` buckets by the hash's first digits, so a hot one isn't ordered in one task; what is
+    added up per group are its buckets' counts.
+    """
+    own = df.withColumn("__hash", hash_order(seed, id_col)).withColumn("__bucket", F.substring("__hash", 1, digits))
+    counts = own.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__c"))
+    before = W.partitionBy(group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(F.col(group).alias("__group"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
+    own = own.withColumn("__row", F.row_number().over(W.partitionBy(group, "__bucket").orderBy("__hash", id_col)) - 1)
+    both = own.join(starts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__bucket") == F.col("__b")))
+    return both.withColumn(name, F.col("__start") + F.col("__row")).drop("__hash", "__bucket", "__group", "__b", "__start", "__row")
+
+
 def number_sorted(df: DataFrame, cols: list[str], name: str) -> DataFrame:
     """``df`` with its place from 0 by ``cols``: range partitions, written once, are numbered each and shifted by those before."""
     parts = df.repartitionByRange(*cols).withColumn("__part", F.spark_partition_id()).checkpoint()

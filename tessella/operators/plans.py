@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.hashing import derive_seed, hash_order
-from tessella.functions.ordering import number_by_hash, number_sorted, running_sums
+from tessella.functions.ordering import number_by_hash, number_sorted, number_within, running_sums
 
 from .identity import split_units
 
@@ -176,9 +176,8 @@ def mix_sources(df: DataFrame, source: str, id_col: str, ratios: dict[str, float
         low = high
     plan = spark.range(batches).select(F.col("id").alias("batch")).withColumn("source", F.coalesce(pick, F.lit(names[-1])))
     plan = plan.withColumn("nth", F.row_number().over(W.partitionBy("source").orderBy("batch")) - 1)
-    rows = df.select(F.col(source).alias("source"), id_col)
-    place = F.row_number().over(W.partitionBy("source").orderBy(hash_order(seed, id_col), id_col)) - 1
-    rows = rows.withColumn("__p", place).select("source", id_col, F.floor(F.col("__p") / size).alias("nth"), (F.col("__p") % size).alias("slot"))
+    rows = df.where(F.col(source).isin(names)).select(F.col(source).alias("source"), id_col)
+    rows = number_within(rows, "source", seed, id_col, "__p").select("source", id_col, F.floor(F.col("__p") / size).alias("nth"), (F.col("__p") % size).alias("slot"))
     whole = rows.groupBy("source").agg(F.floor(F.count(F.lit(1)) / size).alias("has"))
     ends = plan.join(F.broadcast(whole), "source", "left").where(F.col("nth") >= F.coalesce("has", F.lit(0))).agg(F.coalesce(F.min("batch"), F.lit(batches)).alias("__end"))
     live = plan.crossJoin(F.broadcast(ends)).where(F.col("batch") < F.col("__end")).drop("__end")
@@ -192,7 +191,7 @@ def ratio_monitor(plan: DataFrame, every: int) -> DataFrame:
     # Counts per stretch first, so that the running sums are over stretches and not over batches.
     stretch = drawn.groupBy(F.floor(F.col("batch") / every).alias("s"), "source").agg(F.count(F.lit(1)).alias("n"))
     names = drawn.select("source").distinct()
-    grid = marks.select("mark", F.floor(F.col("mark") / every).alias("s")).crossJoin(F.broadcast(names)).join(stretch, ["s", "source"], "left")
+    grid = marks.select("mark", F.floor(F.col("mark") / every).alias("s")).crossJoin(names).join(stretch, ["s", "source"], "left")
     so_far = F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("source").orderBy("s"))
     return grid.select(F.col("mark").alias("batch"), "source", F.round(so_far / (F.col("mark") + 1), 6).alias("share"))
 

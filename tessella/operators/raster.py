@@ -6,6 +6,9 @@ other in a row or column. Components are found over runs of cells in a row, so t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -188,19 +191,55 @@ def thin_structure(cells: DataFrame, code: str = "code", radius: int = 2, least:
     return out.select(*PLACE, "thin", (F.col("thin") & (F.col("__n") <= 2)).alias("endpoint"), (F.col("thin") & (F.col("__n") >= 4)).alias("junction"))
 
 
+def nearest_squares(xs: list[int], heights: list[int | None]) -> list[float | None]:
+    """For each x the least of (x - x')^2 + h'^2 over all places that have a height; None without one. Both are in order of x.
+
+    Each height is a parabola; those of the lower envelope are found in one pass, with where each begins to be the lowest.
+    """
+    held: list[tuple[int, int, float]] = []
+    for x, h in zip(xs, heights, strict=True):
+        if h is None:
+            continue
+        begins = float("-inf")
+        while held:
+            u, g, start = held[-1]
+            begins = ((x * x + h * h) - (u * u + g * g)) / (2 * (x - u))
+            if begins > start:
+                break
+            held.pop()
+            begins = float("-inf")
+        held.append((x, h, begins))
+    out: list[float | None] = []
+    at = 0
+    for x in xs:
+        while at + 1 < len(held) and held[at + 1][2] < x:
+            at += 1
+        out.append(float((x - held[at][0]) ** 2 + held[at][1] ** 2) if held else None)
+    return out
+
+
 def distance_to(cells: DataFrame, mask: str) -> DataFrame:
     """``distance``: exact Euclidean distance to the nearest cell of the mask; null in images without one.
 
-    First along columns, by windows; then each row's cells take the least of the sums of squares, within the row alone.
+    First along columns, by windows; then along rows, by the lower envelope of each row's parabolas, in time and memory of
+    the row's length.
     """
     col = W.partitionBy("image_id", "x").orderBy("y")
     at = F.when(F.col(mask), F.col("y"))
     up, down = F.last(at, True).over(col.rowsBetween(W.unboundedPreceding, 0)), F.first(at, True).over(col.rowsBetween(0, W.unboundedFollowing))
     g = cells.select(*PLACE, F.least(F.col("y") - up, down - F.col("y")).alias("g"))
     rows = g.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "g"))).alias("row"))
-    each = rows.select("image_id", "y", F.explode("row.x").alias("x"), F.filter("row", lambda r: r["g"].isNotNull()).alias("known"))
-    best = F.array_min(F.transform("known", lambda r: (r["x"] - F.col("x")) * (r["x"] - F.col("x")) + r["g"] * r["g"]))
-    return each.select(*PLACE, F.round(F.sqrt(best), 6).alias("distance"))
+    rows = rows.select("image_id", "y", F.transform("row", lambda r: r["x"]).alias("x"), F.transform("row", lambda r: r["g"]).alias("g"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = [nearest_squares(x, h) for x, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(best, pa.list_(pa.float64()))], ["image_id", "y", "x", "d"])
+
+    kinds = dict(rows.dtypes)
+    each = rows.mapInArrow(measure, f"image_id {kinds['image_id']}, y {kinds['y']}, x {kinds['x']}, d array<double>")
+    each = each.select("image_id", "y", F.inline(F.arrays_zip("x", "d")))
+    return each.select(*PLACE, F.round(F.sqrt("d"), 6).alias("distance"))
 
 
 def eligible_cells(cells: DataFrame, outline: Column, index: str | None = None, editable: str | None = None, locked: str | None = None, explicit: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.hashing import hash_order
-from tessella.functions.ordering import number_by_hash
+from tessella.functions.ordering import number_by_hash, number_sorted, number_within
 
 
 def split_sizes(n: int, ratios: tuple[float, float, float]) -> tuple[int, int, int]:
@@ -101,9 +101,9 @@ def multi_hot(df: DataFrame, key: str, code: str, n: int) -> DataFrame:
 
 def grouped_batches(df: DataFrame, source: str, id_col: str, size: int, most: int, seed: int) -> DataFrame:
     """``id, source, batch``: waves of at most ``most`` rows a source, cut into batches."""
-    rank = F.row_number().over(W.partitionBy(source).orderBy(hash_order(seed, id_col), id_col)) - 1
-    waves = df.select(id_col, source, F.floor(rank / most).alias("wave"))
-    placed = number_by_hash(waves, seed, id_col, "__p", first="wave", digits=1)
+    own = number_within(df.select(id_col, source), source, seed, id_col, "__n")
+    waves = own.select(id_col, source, F.floor(F.col("__n") / most).alias("wave"), hash_order(seed, id_col).alias("__h"))
+    placed = number_sorted(waves, ["wave", "__h", id_col], "__p")
     return placed.select(id_col, source, F.floor(F.col("__p") / size).alias("batch"))
 
 

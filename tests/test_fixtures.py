@@ -1,5 +1,6 @@
 """Hand-made cases: splits, coverage, contracts, palettes, budgets, sources."""
 
+import hashlib
 import itertools
 import json
 import math
@@ -277,3 +278,29 @@ def test_codes_and_orientations(spark):
     for r in turned:
         images.setdefault(r.k, {})[r.oy, r.ox] = (r.y, r.x)
     assert len({tuple(sorted(m.items())) for m in images.values()}) == 8 and all(len(m) == 64 for m in images.values())
+
+
+def test_rows_reach_their_nearest_squares():
+    rng = random.Random(6)
+    for n in (1, 2, 7, 40):
+        for _ in range(20):
+            xs = sorted(rng.sample(range(-30, 60), n))
+            h = [rng.choice([None, *range(12)]) for _ in xs]
+            want = [min(((x - u) ** 2 + g * g for u, g in zip(xs, h) if g is not None), default=None) for x in xs]
+            assert raster.nearest_squares(xs, h) == want
+
+
+def test_hot_groups_are_numbered_by_hash(spark):
+    from tessella.functions.ordering import number_within
+    from tessella.operators.sampling import batches_over, grouped_batches
+
+    rows = [(i, "hot" if i % 3 else f"s{i % 7}" if i % 2 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, source string").repartition(5)
+    got = {r.id: r.n for r in number_within(df, "source", 5, "id", "n").collect()}
+    for s in {s for _, s in rows}:
+        own = sorted((i for i, t in rows if t == s), key=lambda i: hashlib.sha256(f"5:{i}".encode()).hexdigest())
+        assert [got[i] for i in own] == list(range(len(own)))
+    live = df.where("source is not null")
+    batches = grouped_batches(live, "source", "id", 8, 4, 1)
+    assert sorted(r.id for r in batches.collect()) == sorted(i for i, s in rows if s)
+    assert max(r["count"] for r in batches.groupBy("batch").count().collect()) <= 8
