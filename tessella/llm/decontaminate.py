@@ -192,7 +192,11 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that hold less than ``least`` of every item; nothing shuffles."""
+    """The rows of ``docs``, all columns as they are, that hold less than ``least`` of every item; nothing shuffles.
+
+    Null and empty texts hold nothing and stay; items without words are held by none; repeated rows share their verdict and
+    null ids are carried. Without items or rows nothing changes.
+    """
     small_batches(docs.sparkSession)
     text_at = docs.columns.index(text_col)
     kept = docs

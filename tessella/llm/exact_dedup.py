@@ -77,7 +77,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those that ``exact_duplicates`` doesn't keep.
 
-    Rows without an id stay if no row of their group has one. The texts don't shuffle: only the ids to drop meet them.
+    Null and empty texts are one group. Of equal texts that repeat the largest id all rows of that id stay. Rows without an id
+    stay if no row of their group has one. Columns may have any names. An empty table stays empty. The texts don't shuffle:
+    only the ids to drop meet them.
     """
-    drop = stash(exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__drop")).distinct())
-    return docs.join(broadcast_if_small(drop), F.col(id_col) == F.col("__drop"), "left_anti")
+    drop = broadcast_if_small(stash(exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__drop")).distinct()))
+    return docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")

@@ -282,7 +282,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, of the smallest id of each component (rows without an id stay)."""
+    """The rows of ``docs``, all columns as they are, of the smallest id of each component.
+
+    Null, empty and wordless texts link with nothing and stay, as do rows without an id; rows that repeat the smallest id all
+    stay. Columns may have any names. An empty table stays empty.
+    """
     found = jaccard_components(docs, id_col, text_col)
-    drop = stash(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__drop")).distinct())
-    return docs.join(broadcast_if_small(drop), F.col(id_col) == F.col("__drop"), "left_anti")
+    drop = broadcast_if_small(stash(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__drop")).distinct()))
+    return docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")

@@ -172,7 +172,11 @@ def _scores(model: Discriminant):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", least: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, with a score of ``least`` or more; texts don't shuffle."""
+    """The rows of ``docs``, all columns as they are, with a score of ``least`` or more; texts don't shuffle.
+
+    Null and empty texts are scored like any other, repeated rows share their verdict, null ids are carried; ids take no part
+    but in the choice of rows to learn from. An empty table stays empty; without labels the priors decide.
+    """
     x = with_statistics(docs, id_col, text_col)
     y = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label).cast("int").alias("y"))
     # Learning needs the statistics of labelled rows alone; scoring measures each text where it lies.

@@ -381,3 +381,25 @@ def test_urls(spark):
         if fits:
             assert r.verdict == max(fits)[2], u
     assert url_filter.judge(pages.limit(0), url_filter.RULES).count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    t = prose(4, 60)
+    texts = [t, t.upper(), t + " tail", "", None, prose(8, 50)]
+    kind = "doc_id long, text string, __drop long, __gone string, __gone_id int, __id int, __text int, __x int, y int, key int, component_id long, kept boolean"
+    rows = [(i, s, i, "g", 1, 2, 3, 4, 5, 6, 7, True) for i, s in enumerate(texts)]
+    df = spark.createDataFrame(rows, kind).repartition(2)
+    ids = lambda out: sorted(r.doc_id for r in out.collect())
+    out = exact_dedup.drop_exact_duplicates(df)
+    assert out.columns == df.columns and ids(out) == [1, 2, 4, 5]
+    out = ngram_join.keep_one_per_component(df)
+    assert out.columns == df.columns and ids(out) == [0, 3, 4, 5]
+    out = line_dedup.drop_repeated_lines(df)
+    assert out.columns == df.columns and ids(out) == list(range(6)) and out.where("doc_id = 4").first().text is None
+    items = spark.createDataFrame([(1, " ".join(t.split(" ")[5:30])), (2, None), (3, "")], "item_id long, text string")
+    out = decontaminate.drop_contaminated(df, items)
+    assert out.columns == df.columns and ids(out) == [3, 4, 5]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    assert quality.keep_good(df, labels).columns == df.columns
+    for out in (exact_dedup.drop_exact_duplicates(df.where("false")), ngram_join.keep_one_per_component(df.where("false")), decontaminate.drop_contaminated(df.where("false"), items), quality.keep_good(df.where("false"), labels)):
+        assert out.columns == df.columns and out.count() == 0
