@@ -12,7 +12,7 @@ import hashlib
 import ipaddress
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +25,15 @@ EMAIL = re.compile(r"[A-Za-z0-9À-ɏ._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)")
 IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.])")
 CARD = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)")
-PHONE = re.compile(r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\d.]*\d)")
+PHONE = re.compile(r"(?<![\d.])(?:\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,8}+){1,5}+|(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4})(?![\d.]*\d)")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+SSN = re.compile(r"(?<![\d.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])")
+#: Dates are no entities, nor parts of telephone numbers.
+DATE = re.compile(r"(?<![\d.])(?:(?:19|20)\d\d([-./])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-./])(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d)(?!\d)")
+#: Telephone codes of countries of one and two digits; all others have three.
+CODES = {1: "1 7".split(), 2: "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+#: Ranges of addresses that stay in their range: first address and size.
+RANGES = [(10 << 24, 1 << 24), (100 << 24 | 64 << 16, 1 << 22), (127 << 24, 1 << 24), (169 << 24 | 254 << 16, 1 << 16), (172 << 24 | 16 << 16, 1 << 20), (192 << 24 | 168 << 16, 1 << 16), (0, 1 << 24), (224 << 24, 1 << 29)]
 #: Titles that announce a person, and the gender they tell.
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "господин": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "госпожа": "f", "Dr": "n", "Prof": "n", "Professor": "n"}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-яё]+"
@@ -75,6 +83,41 @@ def _digits(key: bytes, digits: str, kind: str) -> str:
             return digits
 
 
+def _country(digits: str) -> int:
+    """How many digits the country's code has."""
+    return next((n for n in (1, 2) if digits[:n] in CODES[n]), 3)
+
+
+def _address(key: bytes, value: int) -> int:
+    """Another address of the same range; one of no range stays outside all of them."""
+    for base, size in RANGES:
+        if base <= value < base + size:
+            return base + permuted(key, value - base, size, f"ip{base}")
+    while True:
+        value = permuted(key, value, 2**32, "ip")
+        if not any(base <= value < base + size for base, size in RANGES):
+            return value
+
+
+def iban_check(country: str, account: str) -> str:
+    """The two check digits."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
+
+
+def _account(key: bytes, account: str, country: str) -> str:
+    """Another account of the country with digits and letters at the same places."""
+    sizes = [10 if c.isdigit() else 26 for c in account]
+    value = 0
+    for c, n in zip(account, sizes, strict=True):
+        value = value * n + (int(c) if n == 10 else ord(c) - 65)
+    value = permuted(key, value, math.prod(sizes), f"iban{country}{''.join('9' if n == 10 else 'A' for n in sizes)}")
+    out = []
+    for n in reversed(sizes):
+        value, d = divmod(value, n)
+        out.append(str(d) if n == 10 else chr(65 + d))
+    return "".join(reversed(out))
+
+
 def script(word: str) -> str:
     return "cyrillic" if re.search("[Ѐ-ӿ]", word) else "latin"
 
@@ -90,6 +133,24 @@ def _syllables(number: int, some: list[str], count: int) -> str:
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     """The replacement of a canonical entity. Numbers of a format permute, so their first attempts never collide."""
     tweak = f"{kind}/{attempt}"
+    if kind == "phone" and entity[0] == "+":
+        n = 1 + _country(entity[1:])
+        rest = entity[n:]
+        for _ in range(attempt + 1):
+            rest = _digits(key, rest, kind)
+        return entity[:n] + rest
+    if kind == "iban":
+        country, account = entity[:2], entity[4:]
+        for _ in range(attempt + 1):
+            account = _account(key, account, country)
+        return country + iban_check(country, account) + account
+    if kind == "ssn":
+        for _ in range(attempt + 1):
+            while True:
+                entity = _digits(key, entity, "phone")
+                if SSN.fullmatch(f"{entity[:3]}-{entity[3:5]}-{entity[5:]}"):
+                    break
+        return entity
     if kind in ("card", "number", "phone"):
         for _ in range(attempt + 1):
             entity = _digits(key, entity, kind)
@@ -99,7 +160,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         for part in entity.split("."):
             value = value * 256 + int(part)
         for _ in range(attempt + 1):
-            value = permuted(key, value, 2**32, kind)
+            value = _address(key, value)
         return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
     if kind == "ip6":
         value = int(ipaddress.IPv6Address(entity))
@@ -122,9 +183,20 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, canonical)`` of the entities of a text, in order, none overlapping; earlier kinds win."""
     found: list[tuple[int, int, str, str]] = []
+    # Spans that are taken, in order; they don't overlap.
+    begins: list[int] = []
+    ends: list[int] = []
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_left(begins, b)
+        if i and ends[i - 1] > a:
+            return False
+        begins.insert(i, a)
+        ends.insert(i, b)
+        return True
 
     def add(a: int, b: int, kind: str, canonical: str) -> None:
-        if not any(a < y and x < b for x, y, _, _ in found):
+        if free(a, b):
             found.append((a, b, kind, canonical))
 
     if "@" in text:
@@ -141,6 +213,14 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 except ipaddress.AddressValueError:
                     continue
     if re.search(r"\d", text):
+        for m in IBAN.finditer(text):
+            plain = m[0].replace(" ", "")
+            if 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]:
+                add(m.start(), m.end(), "iban", plain)
+        for m in DATE.finditer(text):
+            free(m.start(), m.end())
+        for m in SSN.finditer(text):
+            add(m.start(), m.end(), "ssn", m[0].replace("-", ""))
         for m in IP.finditer(text):
             add(m.start(), m.end(), "ip", ".".join(str(int(p)) for p in m[0].split(".")))
         for m in CARD.finditer(text):
@@ -149,7 +229,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         for m in PHONE.finditer(text):
             digits = re.sub(r"\D", "", m[0])
             if 7 <= len(digits) <= 15 and ("+" in m[0] or "(" in m[0] or len(digits) >= 9):
-                add(m.start(), m.end(), "phone", digits)
+                add(m.start(), m.end(), "phone", "+" * (m[0][0] == "+" and len(digits) > 1 + _country(digits)) + digits)
     if _TITLE.search(text):
         genders: dict[str, set[str]] = {}
         families = set()
@@ -165,13 +245,11 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 add(m.start(2), m.end(2), given[m[2].lower()], m[2].lower())
             k = 3 if m[3] else 2
             add(m.start(k), m.end(k), "family", m[k].lower())
-        found.sort()
-        starts, bare = [f[0] for f in found], []
+        bare = []
         for m in _WORD.finditer(text) if titled else ():
             name = m[0].lower()
             if (name in families or name in given) and (m[0] == m[0].capitalize() or m[0].isupper()):
-                i = bisect_right(starts, m.start())
-                if (not i or found[i - 1][1] <= m.start()) and (i == len(found) or m.end() <= found[i][0]):
+                if free(m.start(), m.end()):
                     bare.append((m.start(), m.end(), "family" if name in families else given[name], name))
         found += bare
     return sorted(found)
@@ -179,9 +257,9 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 def _dressed(original: str, kind: str, new: str) -> str:
     """``new`` in the format of the original: separators stay where they are, capitals as they were."""
-    if kind in ("card", "number", "phone"):
-        digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+    if kind in ("card", "number", "phone", "ssn", "iban"):
+        marks = iter(c for c in new if c.isalnum())
+        return "".join(next(marks) if c.isalnum() else c for c in original)
     return new.upper() if kind != "email" and original.isupper() and len(original) > 1 else new
 
 
@@ -211,7 +289,7 @@ def exceptions(known: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
     """``kind, entity, attempt`` of entities whose first surrogate another one has or that is an entity itself."""
     now = stash(_with_surrogates(known.withColumn("attempt", F.lit(0)), key))
     # Kinds that look alike share their surrogates' names: a number must not turn into a telephone's digits, nor a family into a given name.
-    group = F.when(F.col("kind").isin("card", "number", "phone"), "digits").when(F.col("kind").startswith("given_") | (F.col("kind") == "family"), "name").otherwise(F.col("kind"))
+    group = F.when(F.col("kind").isin("card", "number", "phone", "ssn"), "digits").when(F.col("kind").startswith("given_") | (F.col("kind") == "family"), "name").otherwise(F.col("kind"))
     real = stash(known.select(group.alias("g"), F.col("entity").alias("new")).distinct())
     for _ in range(rounds):
         own = now.withColumn("g", group)
@@ -229,8 +307,9 @@ def exceptions(known: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_entities, spans, text``: one row per row of ``docs``; text has every entity replaced.
 
-    Spans are ``kind:start:end`` of the original text, in code points. Kinds: email, ip, ip6, card (right check digit), number,
-    phone, given_f/m/n and family (names behind a title, and the same names elsewhere in the text, capitalised or in capitals;
+    Spans are ``kind:start:end`` of the original text, in code points. Kinds: email, ip (another of its private range, or outside
+    all of them), ip6, iban and card (right check digits; an account keeps its country), number, phone (a country's code stays),
+    ssn, given_f/m/n and family (names behind a title, and the same names elsewhere in the text, capitalised or in capitals;
     a given name has one gender in a text, the titles' one or n). Texts without entities stay as they are, null stays null and empty
     stays empty. Whoever holds ``key`` can undo numbers; keep it secret. Repeated rows are treated each, a null id is
     carried, other columns aren't read.
