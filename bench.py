@@ -8,7 +8,7 @@ from tessella.plans import registry
 from tessella.session import local_session
 from tessella.sources.shared import shared_dir
 
-HEADLINE = ["knn_topk_accuracy", "g4_knn", "c1_duplicate_groups", "c4_split_units", "d5_stratified_holdout", "e17_box_iou", "f3_class_boundary", "h14_image_miou", "h21_depth_metrics", "i1_smooth", "i7_best_history", "f6_components", "h8_auroc", "h18_region_metrics", "e10_coverage", "f23_delta_e_stats"]
+HEADLINE = ["knn_topk_accuracy", "g4_knn", "c1_duplicate_groups", "c4_split_units", "d5_stratified_holdout", "e17_box_iou", "f3_class_boundary", "h14_image_miou", "h21_depth_metrics", "i1_smooth", "i7_best_history", "f6_components", "h8_auroc", "h18_region_metrics", "e10_coverage", "f23_delta_e_stats", "e14_select_crops", "f19_rank_templates", "g18_evaluate_heads", "h28_dataset_stats"]
 
 
 def main() -> None:

@@ -135,7 +135,12 @@ def _(s, d):
     return p.ratio_monitor(_mixed(s, d), 10)
 
 
-@query("d18_scale_budgets")  # taking turns has no SQL; tests compare it with the plain loop
+@query("d18_scale_budgets", f"""WITH {v.IMAGES}, r AS (SELECT image_id, CAST(ceil(width / 384) * ceil(height / 384) AS BIGINT) AS raw FROM images), t AS (SELECT sum(raw) AS s, 3 * count(*) AS goal, greatest(40, 3 * count(*)) AS cap FROM r),
+ b AS MATERIALIZED (SELECT image_id, CAST(least(greatest(2, round_even(raw::DOUBLE * goal::DOUBLE / s::DOUBLE, 0)), cap) AS BIGINT) AS b FROM r, t), c AS (SELECT b, count(*) AS k FROM b GROUP BY 1), w AS (SELECT sum(b * k) AS w FROM c),
+ lv AS MATERIALIZED (SELECT l, sum(least(b, l) * k) AS lo, sum(greatest(b, l) * k) AS hi FROM c, (SELECT unnest(range(2, cap + 1)) AS l FROM t) GROUP BY 1),
+ dn AS (SELECT l, CASE WHEN l = 2 THEN 0 ELSE lo - goal END AS x FROM lv, t WHERE lo >= goal ORDER BY l LIMIT 1), up AS (SELECT l, CASE WHEN l = cap THEN 0 ELSE goal - hi END AS x FROM lv, t WHERE hi <= goal ORDER BY l DESC LIMIT 1),
+ m AS (SELECT image_id, b, CASE WHEN w > goal THEN (SELECT l FROM dn) WHEN w < goal THEN (SELECT l FROM up) END AS l, CASE WHEN w > goal THEN (SELECT x FROM dn) WHEN w < goal THEN (SELECT x FROM up) END AS x, CASE WHEN w > goal THEN b >= (SELECT l FROM dn) WHEN w < goal THEN b <= (SELECT l FROM up) ELSE false END AS hit, CASE WHEN w > goal THEN -1 ELSE 1 END AS step FROM b, t, w)
+ SELECT image_id, CAST(CASE WHEN NOT hit THEN b WHEN row_number() OVER (PARTITION BY hit ORDER BY image_id) <= x THEN l + step ELSE l END AS BIGINT) AS budget FROM m""")
 def _(s, d):
     i = v.images(s, d)
     return p.scale_budgets(i, "image_id", F.ceil(F.col("width") / 384) * F.ceil(F.col("height") / 384), 3 * i.count(), 2, 40)

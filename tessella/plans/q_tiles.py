@@ -90,7 +90,15 @@ def _(s, d):
     return g.coverage(i, t.union(i.where("image_id % 3 = 0").select("image_id", F.lit(192), F.lit(192), F.lit(384), F.lit(384))))
 
 
-@query("e5_offgrid_origins")  # tries by hash with a limit of their number: tests hold the regions, the grid and that it repeats
+def drawn(part: str, most: str) -> str:
+    """The hash of a try, modulo ``most``."""
+    return f"CAST(concat('0x', substr(sha256(concat('5:', region, ':', image_id, ':', t, ':{part}')), 1, 12)) AS BIGINT) % ({most})"
+
+
+@query("e5_offgrid_origins", f"""WITH {v.IMAGES}, e AS (SELECT image_id, region, n, greatest(width - 512, 0)::BIGINT AS mx, greatest(height - 512, 0)::BIGINT AS my, unnest(range(tries)) AS t FROM images, (VALUES ('interior', 3, 240), ('edge', 2, 200), ('corner', 1, 200)) r(region, n, tries)),
+ o AS (SELECT image_id, region, n, t, CASE WHEN region = 'interior' THEN {drawn('x', 'mx + 1')} WHEN {drawn('x', '2')} = 0 THEN 0 ELSE mx END AS ox, CASE WHEN region <> 'corner' THEN {drawn('y', 'my + 1')} WHEN {drawn('y', '2')} = 0 THEN 0 ELSE my END AS oy FROM e),
+ g AS (SELECT image_id, region, n, ox, oy, min(t) AS t FROM o WHERE NOT ((ox + 64) % 384 = 0 AND (oy + 64) % 384 = 0) AND NOT (ox % 384 = 0 AND oy % 384 = 0) GROUP BY ALL)
+ SELECT image_id, ox, oy, CAST(row_number() OVER w AS INT) AS place FROM g WINDOW w AS (PARTITION BY image_id, region ORDER BY t) QUALIFY row_number() OVER w <= n""")
 def _(s, d):
     i = v.images(s, d)
     return g.offgrid_origins(i, 512, 384, 64, 3, "interior", 5).unionByName(g.offgrid_origins(i, 512, 384, 64, 2, "edge", 5)).unionByName(g.offgrid_origins(i, 512, 384, 64, 1, "corner", 5))
