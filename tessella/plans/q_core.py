@@ -438,7 +438,7 @@ def _(s, d):
     return csv_fields(table(s, d, "documents").select("doc_id").join(table(s, d, "labels"), "doc_id", "left"), ["quality", "toxic", "reviewer"], ["doc_id"])
 
 
-@query("a13_fingerprint", "WITH r AS (SELECT sha256(concat_ws(chr(31), doc_id, lang, source)) AS h FROM documents), b AS (SELECT substr(h, 1, 3) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY k)) AS fingerprint FROM b")
+@query("a13_fingerprint", "WITH r AS (SELECT sha256(concat_ws(chr(31), doc_id, lang, source)) AS h FROM documents), a AS (SELECT substr(h, 1, 6) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1), b AS (SELECT substr(a.k, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY a.k)) AS h FROM a GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY p)) AS fingerprint FROM b")
 def _(s, d):
     from tessella.sources.manifests import fingerprint
 

@@ -118,7 +118,7 @@ def _(s, d):
     return g.subscenes(v.images(s, d))
 
 
-@query("e8_manifest_summary", f"WITH {SUBS}, r AS (SELECT *, sha256(concat_ws(chr(31), size, image_id, x, y)) AS hs FROM sc), b AS (SELECT substr(hs, 1, 3) AS k, sha256(string_agg(hs, '' ORDER BY hs)) AS q FROM r GROUP BY 1), f AS (SELECT sha256(string_agg(q, '' ORDER BY k)) AS fingerprint FROM b) SELECT size, count(*) AS n, count(DISTINCT image_id) AS images, any_value(fingerprint) AS fingerprint FROM sc, f GROUP BY 1")
+@query("e8_manifest_summary", f"WITH {SUBS}, r AS (SELECT *, sha256(concat_ws(chr(31), size, image_id, x, y)) AS hs FROM sc), a AS (SELECT substr(hs, 1, 6) AS k, sha256(string_agg(hs, '' ORDER BY hs)) AS q FROM r GROUP BY 1), b AS (SELECT substr(a.k, 1, 3) AS p, sha256(string_agg(q, '' ORDER BY a.k)) AS q FROM a GROUP BY 1), f AS (SELECT sha256(string_agg(q, '' ORDER BY p)) AS fingerprint FROM b) SELECT size, count(*) AS n, count(DISTINCT image_id) AS images, any_value(fingerprint) AS fingerprint FROM sc, f GROUP BY 1")
 def _(s, d):
     return g.manifest_summary(g.subscenes(v.images(s, d)), "size", ["image_id", "x", "y"])
 

@@ -29,10 +29,15 @@ def canonical(df: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One hash of all rows in any order: row hashes meet in 4096 buckets, whose hashes make the last one."""
+    """One hash of all rows in any order: row hashes meet in 16 million buckets, their hashes in 4096, and those make the last one.
+
+    A bucket of a million million rows holds some 60,000 hashes, and nothing holds more.
+    """
     row = F.sha2(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]), 256)
-    buckets = df.select(row.alias("h")).groupBy(F.substring("h", 1, 3).alias("k")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    first = df.select(row.alias("h")).groupBy(F.substring("h", 1, 6).alias("k")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
+    joined = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256)
+    second = first.groupBy(F.substring("k", 1, 3).alias("__k")).agg(joined.alias("h")).withColumnRenamed("__k", "k")
+    return second.agg(joined.alias("fingerprint"))
 
 
 def stale_entries(want: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
