@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.hashing import derive_seed, hash_order
+from tessella.functions.texts import simple_upper, trim_spaces
 from tessella.operators import audits, geometry, identity, metrics, sampling, vectors
 
 from . import views as v
@@ -23,8 +24,8 @@ def _(s, d):
  SELECT sha256(regexp_replace(lower(text), '\s+', ' ', 'g')) AS sha, count(*) AS n, min(source) AS first_name, 0.8::DOUBLE AS confidence FROM (SELECT trim(text) AS text, source, text AS raw FROM t) GROUP BY 1 HAVING count(*) > 1 AND count(*) = count(DISTINCT source) AND count(DISTINCT text) > 1""")
 def _(s, d):
     docs = table(s, d, "documents")
-    more = docs.where("doc_id % 9 = 0 and lang = 'en'").select(F.concat(F.upper("text"), F.lit(" ")).alias("text"), F.concat("source", F.lit("_b")).alias("source"))
-    return identity.near_duplicate_groups(docs.select("text", "source").union(more).withColumn("text", F.trim("text")), "text", "source")
+    more = docs.where("doc_id % 9 = 0 and lang = 'en'").select(F.concat(simple_upper(F.col("text")), F.lit(" ")).alias("text"), F.concat("source", F.lit("_b")).alias("source"))
+    return identity.near_duplicate_groups(docs.select("text", "source").union(more).withColumn("text", trim_spaces(F.col("text"))), "text", "source")
 
 
 @query("c3_design_group", "SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY sha) > 1 THEN 'grp_' ELSE 'grp_single_' END || substr(sha, 1, 8) AS design_group FROM (SELECT doc_id, sha256(text) AS sha FROM documents)")
