@@ -36,19 +36,20 @@ def inverse_consistency(targets: DataFrame, preds: DataFrame, classes: int) -> D
 
     ``targets`` has ``image_id, y, x, target``, full rectangles of any sides; ``preds`` has ``image_id, k, oy, ox, pred`` in
     places of the turned image. A place without a prediction is wrong on both sides; predictions beyond the image don't
-    count. Both sides meet by place alone.
+    count. Both sides meet by place alone, by merge joins: rasters pack so well that Spark would take them for small and send
+    them through the driver.
     """
     size = targets.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     keys = preds.select("image_id", "k").distinct()
-    every = targets.join(size, "image_id").join(keys, "image_id")
+    every = targets.join(size.join(keys.hint("merge"), "image_id").hint("merge"), "image_id")
     y, x, h, w, k = (F.col(c) for c in ("y", "x", "h", "w", "k"))
     oy, ox = orient_place(y, x, h, w, k)
-    there = every.withColumn("oy", oy).withColumn("ox", ox).join(preds, ["image_id", "k", "oy", "ox"], "left")
+    there = every.withColumn("oy", oy).withColumn("ox", ox).join(preds.hint("merge"), ["image_id", "k", "oy", "ox"], "left")
     by, bx = restore_place(F.col("oy"), F.col("ox"), h, w, k)
-    back = preds.join(size, "image_id").select("image_id", "k", by.alias("y"), bx.alias("x"), "pred")
-    here = every.join(back, ["image_id", "k", "y", "x"], "left")
+    back = preds.join(size.hint("merge"), "image_id").select("image_id", "k", by.alias("y"), bx.alias("x"), "pred")
+    here = every.join(back.hint("merge"), ["image_id", "k", "y", "x"], "left")
     score = lambda df, name: region_scores(df.withColumn("pred", F.coalesce("pred", F.lit(-1))), {"global": F.lit(True)}, "target", "pred", classes, ("image_id", "k")).select("image_id", "k", F.col("miou_present").alias(name))
-    both = score(there, "transformed_miou").join(score(here, "inverse_miou"), ["image_id", "k"])
+    both = score(there, "transformed_miou").join(score(here, "inverse_miou").hint("merge"), ["image_id", "k"])
     return both.withColumn("delta", F.round(F.abs(F.col("transformed_miou") - F.col("inverse_miou")), 6))
 
 
