@@ -175,25 +175,41 @@ def coverage(images: DataFrame, tiles: DataFrame) -> DataFrame:
     return images.select("image_id").join(sums, "image_id", "left").select("image_id", F.coalesce("holes", F.lit(0)).alias("holes"), F.coalesce("over", F.lit(0)).alias("over"))
 
 
+#: Tries of an image before all of them are gone through one by one.
+FIRST_TRIES = 16
+
+
 def offgrid_origins(images: DataFrame, size: int, core: int, halo: int, n: int, region: str, seed: int) -> DataFrame:
     """``image_id, ox, oy, place``: ``n`` window origins per image inside, at an edge or in a corner, none of them on the grid.
 
-    Origins are drawn by a hash of seed, image and try; of ``max(80 n, 200)`` tries the first good ones count. Windows lie in
-    the image where it is large enough; canonical origins are those of cores less the halo, and both multiples of ``core``.
+    Origins are drawn by a hash of seed, image and try; of ``max(80 n, 200)`` tries the first good ones count, and none is drawn
+    behind them. Windows lie in the image where it is large enough; canonical origins are those of cores less the halo, and both
+    multiples of ``core``.
     """
     if region not in ("interior", "edge", "corner"):
         raise ValueError(f"unknown region: {region}")
     tries = max(n * 80, 200)
-    draw = lambda k, most: F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(region), F.col("image_id").cast("string"), F.col("t").cast("string"), F.lit(k)), 256), 1, 12), 16, 10).cast("long"), most)
-    each = images.select("image_id", F.greatest(F.col("width") - size, F.lit(0)).cast("long").alias("mx"), F.greatest(F.col("height") - size, F.lit(0)).cast("long").alias("my"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
-    free = lambda k, m: draw(k, F.col(m) + 1)
-    ends = lambda k, m: F.when(draw(k, F.lit(2)) == 0, F.lit(0)).otherwise(F.col(m))
-    ox = free("x", "mx") if region == "interior" else ends("x", "mx")
-    oy = ends("y", "my") if region == "corner" else free("y", "my")
-    at = each.select("image_id", "t", ox.alias("ox"), oy.alias("oy"))
-    grid = lambda c: F.pmod(F.col(c) + halo, F.lit(core)) == 0
-    good = at.where(~(grid("ox") & grid("oy")) & ~((F.col("ox") % core == 0) & (F.col("oy") % core == 0)))
-    once = good.groupBy("image_id", "ox", "oy").agg(F.min("t").alias("t"))
+    draw = lambda t, k, most: F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(region), F.col("image_id").cast("string"), t.cast("string"), F.lit(k)), 256), 1, 12), 16, 10).cast("long"), most)
+    each = images.select("image_id", F.greatest(F.col("width") - size, F.lit(0)).cast("long").alias("mx"), F.greatest(F.col("height") - size, F.lit(0)).cast("long").alias("my"))
+    # A table of a few numbers a row is read by few tasks, but draws take long.
+    spark = images.sparkSession
+    each = each.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "image_id")
+    free = lambda t, k, m: draw(t, k, F.col(m) + 1)
+    ends = lambda t, k, m: F.when(draw(t, k, F.lit(2)) == 0, F.lit(0)).otherwise(F.col(m))
+    ox = free if region == "interior" else ends
+    oy = ends if region == "corner" else free
+    at = lambda t: F.struct(ox(t, "x", "mx").cast("long").alias("ox"), oy(t, "y", "my").cast("long").alias("oy"), t.alias("t"))
+    grid = lambda c: F.pmod(c + halo, F.lit(core)) == 0
+    good = lambda o: ~(grid(o["ox"]) & grid(o["oy"])) & ~((o["ox"] % core == 0) & (o["oy"] % core == 0))
+    new = lambda got, o: ~F.exists(got, lambda g: (g["ox"] == o["ox"]) & (g["oy"] == o["oy"]))
+    # A draw is made when its turn comes and origins are still missing; the filter holds it, so that it's made once.
+    more = lambda got, t: F.when(F.size(got) >= n, got).otherwise(F.concat(got, F.filter(F.array(at(t)), lambda o: good(o) & new(got, o))))
+    none = F.array().cast("array<struct<ox: bigint, oy: bigint, t: int>>")
+    some = F.aggregate(F.sequence(F.lit(0), F.lit(FIRST_TRIES - 1)), none, more)
+    found = F.transform(F.array(some), lambda got: F.when(F.size(got) >= n, got).otherwise(F.aggregate(F.sequence(F.lit(FIRST_TRIES), F.lit(tries - 1)), got, more)))
+    # Windows as large as the image have the one origin 0, 0, which is on the grid.
+    first = each.where("mx > 0 or my > 0").select("image_id", F.inline(F.get(found, F.lit(0))))
+    once = first.groupBy("image_id", "ox", "oy").agg(F.min("t").alias("t"))
     return once.withColumn("place", F.row_number().over(W.partitionBy("image_id").orderBy("t"))).where(F.col("place") <= n).select("image_id", "ox", "oy", "place")
 
 
