@@ -7,6 +7,7 @@ from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -235,21 +236,61 @@ def sinkhorn(rows: DataFrame, id_col: str, scores: str, temperature: float, roun
     return q.withColumnRenamed("q", "shares")
 
 
+#: Pairs of a piece of a batch, and of those that meet another piece at a time.
+PIECE, ROWS = 4096, 256
+
+
+def _matrix(lists: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, with zeros behind shorter ones, and their lengths: -1 for one that is null or holds a null."""
+    lists = lists.combine_chunks()
+    n = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+    values, row = lists.flatten(), np.repeat(np.arange(len(n)), n)
+    out = np.zeros((len(n), width))
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = values.to_numpy(zero_copy_only=False)
+    n[np.asarray(lists.is_null())] = -1
+    gone = row[np.asarray(values.is_null())]
+    out[gone], n[gone] = 0.0, -1
+    return out, n
+
+
 def clip_loss(pairs: DataFrame, batch: str, place: str, a: str, b: str, scale: float) -> DataFrame:
     """``batch, loss``: of each batch of pairs, the mean of both directions' log-sum-exp of scaled products, less the pair's own.
 
-    A batch's rows meet each other: batches are of bounded size.
+    A batch's rows meet each other, piece by piece, so that its products grow with its square and a task's memory doesn't. A
+    product of vectors of unequal lengths or with a null counts in no sum.
     """
-    rows = pairs.select(batch, F.col(place).alias("__i"), F.col(a).alias("__a"))
-    other = pairs.select(batch, F.col(place).alias("__j"), F.col(b).alias("__b"))
-    each = rows.join(other, batch).select(batch, "__i", "__j", (scale * dot("__a", "__b")).alias("z"))
-    # Scaled products of unit vectors are at most ``scale``: taking it off keeps exponentials in range.
-    e = F.exp(F.col("z") - scale)
-    image = each.groupBy(batch, "__i").agg((F.ln(F.sum(e)) + scale).alias("lse"))
-    text = each.groupBy(batch, "__j").agg((F.ln(F.sum(e)) + scale).alias("lse"))
-    own = each.where("__i = __j").groupBy(batch).agg(F.sum("z").alias("own"), F.count(F.lit(1)).alias("n"))
-    sums = image.select(batch, "lse").union(text.select(batch, "lse")).groupBy(batch).agg(F.sum("lse").alias("lse"))
-    return own.join(sums, batch).select(batch, F.round((F.col("lse") - 2 * F.col("own")) / F.col("n") / 2, 6).alias("loss"))
+    rows = pairs.select(F.col(batch).alias("__k"), F.col(place).alias("__i"), F.transform(a, lambda x: x.cast("double")).alias("a"), F.transform(b, lambda x: x.cast("double")).alias("b"))
+    sizes = rows.groupBy("__k").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("__n"))
+    cut = rows.join(sizes, "__k").withColumn("__p", F.pmod(F.xxhash64("__i"), F.col("__n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    left = cut.select("__k", F.col("__p").alias("__x"), every.alias("__y"), F.lit(True).alias("first"), "__i", F.col("a").alias("v"))
+    right = cut.select("__k", every.alias("__x"), F.col("__p").alias("__y"), F.lit(False).alias("first"), "__i", F.col("b").alias("v"))
+    types = dict(rows.dtypes)
+
+    def meet(table: pa.Table) -> pa.Table:
+        first = table.column("first").combine_chunks()
+        x, y = table.filter(first), table.filter(pc.invert(first))
+        width = pc.max(pc.list_value_length(table.column("v"))).as_py() or 0
+        (p, m), (q, n) = (_matrix(t.column("v"), width) for t in (x, y))
+        sums, seen = [np.zeros(len(p)), np.zeros(len(q))], [np.zeros(len(p), bool), np.zeros(len(q), bool)]
+        with np.errstate(all="ignore"):
+            for k in range(0, len(p), ROWS):
+                part = slice(k, k + ROWS)
+                real = (m[part, None] == n) & (n >= 0)
+                # Scaled products of unit vectors are at most ``scale``: taking it off keeps exponentials in range.
+                e = np.where(real, np.exp(scale * (p[part] @ q.T) - scale), 0.0)
+                sums[0][part], seen[0][part] = e.sum(axis=1), real.any(axis=1)
+                sums[1] += e.sum(axis=0)
+                seen[1] |= real.any(axis=0)
+        both = pa.concat_tables([x, y]).select(["__k", "first", "__i"])
+        return both.append_column("sum", pa.array(np.concatenate(sums), mask=~np.concatenate(seen)))
+
+    met = left.union(right).groupBy("__k", "__x", "__y").applyInArrow(meet, f"__k {types['__k']}, first boolean, __i {types['__i']}, sum double")
+    each = met.groupBy("__k", "first", "__i").agg((F.ln(F.sum("sum")) + scale).alias("lse"))
+    sums = each.groupBy("__k").agg(F.sum("lse").alias("lse"))
+    itself = rows.select("__k", "__i", "a").join(rows.select("__k", "__i", "b").hint("merge"), ["__k", "__i"])
+    own = itself.groupBy("__k").agg(F.sum(scale * dot("a", "b")).alias("own"), F.count(F.lit(1)).alias("n"))
+    return own.join(sums, "__k").select(F.col("__k").alias(batch), F.round((F.col("lse") - 2 * F.col("own")) / F.col("n") / 2, 6).alias("loss"))
 
 
 def align_results(rows: DataFrame, index: str, order: str, columns: list[str]) -> DataFrame:
