@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, log
+from math import ceil, exp, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def dot(a: str, b: str) -> Column:
@@ -27,8 +28,18 @@ def l2_normalize(df: DataFrame, col: str, eps: float = 1e-12) -> DataFrame:
 TEST, TRAIN = 1024, 4096
 
 
+#: Lanes times groups at least, columns of a group of scores of which the best is looked at first, and scores at a time.
+MEETINGS, COLUMNS, SLICE = 64, 32, 1 << 15
+
+
+def _held(rows: DataFrame) -> str:
+    """The numbers that hold the vectors ``v``: as wide as they came."""
+    return "<f4" if rows.schema["v"].dataType == ArrayType(FloatType(), rows.schema["v"].dataType.containsNull) else "<f8"
+
+
 def _blocks(rows: DataFrame, size: int, prefix: str, lanes: int) -> DataFrame:
     """``rows(id, v, label, by)`` packed in blocks of at most ``size``, each dealt to one of the lanes."""
+    kind = _held(rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held = TaskContext.get().partitionId(), 0, []
@@ -37,7 +48,7 @@ def _blocks(rows: DataFrame, size: int, prefix: str, lanes: int) -> DataFrame:
             nonlocal number, held
             table = pa.Table.from_batches(held)
             own, held = table.slice(0, count).combine_chunks(), table.slice(count).to_batches()
-            v = own.column(1).chunk(0).flatten().to_numpy().astype("<f8")
+            v = own.column(1).chunk(0).flatten().to_numpy().astype(kind)
             ids, label, by = (own.column(c).to_numpy().astype(t).tobytes() for c, t in ((0, "<i8"), (2, "<i4"), (3, "<i4")))
             number += 1
             values = [pa.array([part << 32 | number], pa.int64()), pa.array([(part + number) % lanes], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids, v.tobytes(), label, by))]
@@ -54,11 +65,39 @@ def _blocks(rows: DataFrame, size: int, prefix: str, lanes: int) -> DataFrame:
     return rows.mapInArrow(pack, f"{prefix}block long, {prefix}lane int, {prefix}ids binary, {prefix}v binary, {prefix}label binary, {prefix}by binary")
 
 
-def _best(rank: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of several tables of scores, ids and labels, one row a query; ties by id."""
-    s, i, c = (np.concatenate([r[x] for r in rank], axis=1) for x in range(3))
-    top = np.lexsort((i, -s), axis=1)[:, :k]
-    return tuple(np.take_along_axis(x, top, 1) for x in (s, i, c))
+def _leading(m: np.ndarray, v: np.ndarray, k: int, least: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and scores of the products that may be among their row's k best at six places, those equal to the last included.
+
+    The k-th best of the maxima of groups of columns bounds the k-th best from below, as does ``least``, the k-th of blocks before.
+    Products of single precision with as much slack as they may be off pick the pairs, whose scores are of double precision.
+    """
+    with np.errstate(all="ignore"):
+        s = m.astype("<f4") @ v.astype("<f4").T
+        slack = (m.shape[1] + 4) * 2.0**-24 * np.linalg.norm(m, axis=1) * np.linalg.norm(v, axis=1).max()
+        n = s.shape[1] // COLUMNS
+        if n >= k:
+            tops = s[:, : n * COLUMNS].reshape(len(s), COLUMNS, n).max(axis=1)
+            low = np.partition(tops, n - k, axis=1)[:, n - k].astype(float) - slack
+        elif s.shape[1] > k:
+            low = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k].astype(float) - slack
+        else:
+            low = np.full(len(s), -np.inf)
+        least = (low if least is None else np.fmax(low, least)) - slack - 2e-6
+        least = np.nextafter(least.astype("<f4"), np.float32(-np.inf))
+        row, col = np.divmod(np.flatnonzero(~(s < least[:, None])), s.shape[1])
+        # In slices: of equal vectors all pairs come.
+        score = [np.einsum("ij,ij->i", m[row[i : i + SLICE]], v[col[i : i + SLICE]]) for i in range(0, len(row), SLICE)]
+        return row, col, np.round(np.concatenate([np.zeros(0), *score]), 6)
+
+
+def _merged(rank: tuple[np.ndarray, ...] | None, more: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each row of flat tables of rows, scores, ids and labels, in their order; ties by id."""
+    row, s, i, c = more if rank is None else (np.concatenate(x) for x in zip(rank, more, strict=True))
+    order = np.lexsort((i, -s, row))
+    row = row[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    order = order[kept]
+    return row[kept], s[order], i[order], c[order]
 
 
 def knn(test: DataFrame, train: DataFrame, k: int, by: str | None = None) -> DataFrame:
@@ -67,26 +106,27 @@ def knn(test: DataFrame, train: DataFrame, k: int, by: str | None = None) -> Dat
     ``test(id, v)`` and ``train(id, v, label)``; with ``by``, a whole number of train rows, there are k for each of its
     values, and the column comes first. Null labels are -1.
 
-    Both sides are packed in blocks of bounded size. Train blocks are dealt over as many lanes as there are shuffle
-    partitions, test blocks go to every lane: a task meets one pair of blocks after another, keeps the k best of the test
-    block at hand over its lane's train rows, and a window picks the k of all lanes. Nothing goes through the driver.
+    Both sides are packed in blocks of bounded size. Train blocks are dealt over lanes and test blocks over groups, about as many
+    of each as the root of the number of shuffle partitions, and every group meets every lane: a task meets one pair of blocks
+    after another, keeps the k best of the test block at hand over its lane's train rows, and a window picks the k of all lanes.
+    Nothing goes through the driver. All pairs are compared, so that the work grows with the product of both sides.
     """
     spark = train.sparkSession
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = ceil(sqrt(max(MEETINGS, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     key = F.col(by).cast("int") if by else F.lit(0)
     own = train.select(F.col("id").cast("long").alias("id"), "v", F.coalesce(F.col("label").cast("int"), F.lit(-1)).alias("label"), key.alias("by"))
     asked = test.select(F.col("id").cast("long").alias("id"), "v", F.lit(0).alias("label"), F.lit(0).alias("by"))
-    right = _blocks(own, TRAIN, "r_", lanes).withColumnRenamed("r_lane", "lane")
-    left = _blocks(asked, TEST, "t_", lanes).drop("t_lane", "t_label", "t_by").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
+    right = _blocks(own, TRAIN, "r_", lanes).withColumnRenamed("r_lane", "lane").withColumn("group", every)
+    left = _blocks(asked, TEST, "t_", lanes).drop("t_label", "t_by").withColumnRenamed("t_lane", "group").withColumn("lane", every)
+    t_kind, r_kind = _held(asked), _held(own)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, m, held = None, None, None, {}
 
         def found() -> Iterator[pa.RecordBatch]:
-            for value, rank in held.items():
-                s, i, c = _best(rank, k)
-                n = s.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids) * n, value, np.int32)), pa.array(np.repeat(ids, n)), *(pa.array(x.reshape(-1)) for x in (i, c, s))], ["by", "test_id", "train_id", "label", "score"])
+            for value, (row, s, i, c) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), value, np.int32)), *(pa.array(x) for x in (ids[row], i, c, s))], ["by", "test_id", "train_id", "label", "score"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -94,21 +134,20 @@ def knn(test: DataFrame, train: DataFrame, k: int, by: str | None = None) -> Dat
                     # Pairs of a test block come behind each other; were they mixed, more rows would go on and none be lost.
                     yield from found()
                     at, held, ids = r["t_block"], {}, np.frombuffer(r["t_ids"], "<i8")
-                    m = np.frombuffer(r["t_v"], "<f8").reshape(len(ids), -1)
+                    m = np.frombuffer(r["t_v"], t_kind).astype("<f8").reshape(len(ids), -1)
                 names, labels, keys = np.frombuffer(r["r_ids"], "<i8"), np.frombuffer(r["r_label"], "<i4"), np.frombuffer(r["r_by"], "<i4")
-                v = np.frombuffer(r["r_v"], "<f8").reshape(len(names), -1)
+                v = np.frombuffer(r["r_v"], r_kind).astype("<f8").reshape(len(names), -1)
                 for value in np.unique(keys).tolist():
                     mine = np.flatnonzero(keys == value)
                     mine = mine[np.argsort(names[mine], kind="stable")]
-                    s = np.round(m @ v[mine].T, 6)
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    rank = held.setdefault(value, [])
-                    rank.append((np.take_along_axis(s, top, 1), names[mine][top], labels[mine][top]))
-                    if len(rank) > 16:
-                        held[value] = [_best(rank, k)]
+                    rank, least = held.get(value), None
+                    if rank is not None and len(rank[0]) == len(ids) * k:
+                        least = rank[1].reshape(len(ids), k)[:, -1]
+                    row, col, score = _leading(m, v[mine], k, least)
+                    held[value] = _merged(rank, (row, score, names[mine][col], labels[mine][col]), k)
         yield from found()
 
-    each = left.join(right.hint("merge"), "lane").drop("lane").mapInArrow(near, "by int, test_id long, train_id long, label int, score double")
+    each = left.join(right.hint("merge"), ["group", "lane"]).drop("group", "lane").mapInArrow(near, "by int, test_id long, train_id long, label int, score double")
     rank = F.row_number().over(W.partitionBy("by", "test_id").orderBy(F.desc("score"), "train_id"))
     out = each.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.withColumnRenamed("by", by) if by else out.drop("by")
